@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, lm, quality, secrets, simhash
+from . import bpe, decontaminate, langid, license, lm, pii, quality, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,16 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_units", "n_matches", "licenses", "best")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -45,7 +55,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_langid, op6_quality, op7_lm, op8_simhash, op9_bpe, op10_secrets)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_langid, op4_pii, op5_license, op6_quality, op7_lm, op8_simhash, op9_bpe, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
