@@ -104,10 +104,10 @@ def _word(text: Column, pattern: str, group: int) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, email, ip, card, phone, tokens): spans by kind, and tokens with their contexts; the text is read once."""
+    """(uid, doc_id, digest, email, ip, card, phone, tokens): spans by kind, and tokens with their contexts; the text is read once."""
     text = F.col("text")
     own = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = own.select("*", *[_base(text, k).alias(k) for k in RULES], F.when(text.rlike("[0-9]"), located(text, TOKEN)).otherwise(F.array().cast(_SPANS)).alias("runs"))
+    own = own.select("*", F.xxhash64("text").alias("digest"), *[_base(text, k).alias(k) for k in RULES], F.when(text.rlike("[0-9]"), located(text, TOKEN)).otherwise(F.array().cast(_SPANS)).alias("runs"))
     seeds = F.concat(*[F.col(k) for k in RULES])
 
     def token(t: Column, seed: Column) -> Column:
@@ -131,7 +131,7 @@ def scan(docs: DataFrame) -> DataFrame:
     inside = lambda t: F.exists(seeds, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
     tokens = F.concat(F.transform("runs", lambda t: token(t, inside(t))), F.transform(plain, lambda t: token(t, F.lit(True))))
     places = lambda k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return own.select("uid", "doc_id", *[places(k).alias(k) for k in RULES], tokens.alias("tokens"))
+    return own.select("uid", "doc_id", "digest", *[places(k).alias(k) for k in RULES], tokens.alias("tokens"))
 
 
 def confident_patterns(rows: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
@@ -150,14 +150,14 @@ def confident_patterns(rows: DataFrame, rounds: int = ROUNDS, support: int = SUP
 
 
 def personal_data(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found (array of kind, start, end)."""
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found (array of kind, start, end), digest of the text."""
     rows = checkpointed(scan(docs))
     patterns = checkpointed(confident_patterns(rows, rounds, support, confident))
     patterns = broadcast_if_small(patterns, patterns.count(), BROADCAST_ROWS)
     unseen = rows.select("uid", F.explode(F.filter("tokens", lambda t: ~t["seed"] & (t["end"] - t["start"] >= SHORTEST))).alias("t"))
     hits = unseen.select("uid", "t.start", "t.end", F.explode("t.patterns").alias("pattern")).join(patterns, "pattern")
     extra = hits.select("uid", "start", "end").distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("id"))
-    every = rows.select("uid", "doc_id", *RULES).join(extra, "uid", "left")
+    every = rows.select("uid", "doc_id", "digest", *RULES).join(extra, "uid", "left")
     every = every.withColumn("id", F.coalesce("id", F.array().cast("array<struct<start:bigint,end:bigint>>")))
 
     def of(kind: str) -> Column:
@@ -168,7 +168,7 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
         return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
     base, found = F.concat(*[of(k) for k in KINDS[:4]]), F.concat(*[of(k) for k in KINDS])
-    return every.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in RULES], F.sha2(listed(base), 256).alias("base_sha256"), listed(found).alias("spans"), found.alias("found"), "uid")
+    return every.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in RULES], F.sha2(listed(base), 256).alias("base_sha256"), listed(found).alias("spans"), found.alias("found"), "digest")
 
 
 def redacted(text: Column, found: Column) -> Column:

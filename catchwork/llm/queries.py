@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, license, lm, pii, quality, secrets, simhash
+from . import bpe, decontaminate, langid, license, lm, pii, quality, secrets, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -55,7 +59,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_langid, op4_pii, op5_license, op6_quality, op7_lm, op8_simhash, op9_bpe, op10_secrets)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring, op3_langid, op4_pii, op5_license, op6_quality, op7_lm, op8_simhash, op9_bpe, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
