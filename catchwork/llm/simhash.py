@@ -27,9 +27,9 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,22 +78,33 @@ def _array(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False).view(np.uint64)
 
 
+def _sums_row(sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([int(TaskContext.get().partitionId()) % 64], pa.int32()), pa.array([sums.astype("<i8").tobytes()], pa.binary())], names=["k", "sums"])
+
+
+def _summed(fps: DataFrame, kernel, size: int) -> np.ndarray:
+    """The sum of the vectors that ``kernel`` gives, one a task: added up in 64 groups, then here."""
+
+    def added(group: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, "<i8") for x in group.column("sums").to_pylist()], axis=0)
+        return pa.table({"sums": pa.array([total.tobytes()], pa.binary())})
+
+    rows = fps.select("fp").mapInArrow(kernel, "k int, sums binary").groupBy("k").applyInArrow(added, "sums binary").collect()
+    return np.sum([np.frombuffer(r["sums"], "<i8") for r in rows] or [np.zeros(size, np.int64)], axis=0)
+
+
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     """The number of fingerprints and, for each two bits, how many have both set."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, n = np.zeros((BITS, BITS)), 0
+        both, n = np.zeros((BITS, BITS), np.int64), 0
         for batch in batches:
             bits = np.unpackbits(_array(batch, "fp").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            both += bits.T @ bits
+            both += (bits.T @ bits).astype(np.int64)
             n += len(bits)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1)), pa.array(np.append(both.ravel(), n).astype(np.int64))], names=["k", "n"])
+        yield _sums_row(np.append(both.ravel(), n))
 
-    rows = fps.select("fp").mapInArrow(kernel, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(BITS * BITS + 1)
-    for r in rows:
-        out[r["k"]] = r["n"]
+    out = _summed(fps, kernel, BITS * BITS + 1)
     return int(out[-1]), out[:-1].reshape(BITS, BITS)
 
 
@@ -130,13 +141,9 @@ def block_histograms(fps: DataFrame, partitions: list[list[int]]) -> np.ndarray:
             for k, bits in enumerate(blocks):
                 value = sum(((x >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << j for j, b in enumerate(bits))
                 counts[k] += np.bincount(value, minlength=1 << BLOCK)
-        at = np.flatnonzero(counts.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], names=["k", "n"])
+        yield _sums_row(counts.ravel())
 
-    out = np.zeros(len(blocks) << BLOCK)
-    for r in fps.select("fp").mapInArrow(kernel, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        out[r["k"]] = r["n"]
-    return out.reshape(len(blocks), 1 << BLOCK)
+    return _summed(fps, kernel, len(blocks) << BLOCK).reshape(len(blocks), 1 << BLOCK).astype(float)
 
 
 def within(histograms: np.ndarray, most: int) -> np.ndarray:
