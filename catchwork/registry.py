@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .queries import MODULES
+
 _HOME = Path(__file__).resolve().parent
 _SHIPPED: set[str] = set()
 
@@ -29,12 +31,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """The flagship: served and unserved population by country, with the served index."""
+    return queries()["e10_e11_served_index"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for m in MODULES for name, (query, _) in m.query.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.query.items() if sql}
