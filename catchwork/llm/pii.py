@@ -38,23 +38,44 @@ SHORTEST = 6
 #: Characters around a token in which its context words are sought.
 REACH = 48
 BROADCAST_ROWS = 100_000
-_SPANS = "array<struct<start:bigint,end:bigint,hit:string>>"
+_SPANS = "array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>"
+_PLACES = "array<struct<start:bigint,end:bigint>>"
+#: Matches whose places are added up together: sums over blocks keep very many matches of a text near linear.
+BLOCK = 128
 
 
 def located(text: Column, pattern: str) -> Column:
-    """The pattern's matches with their places: lengths of the pieces between them and of the matches add up."""
+    """The pattern's matches with their places and surroundings, within the row.
+
+    Lengths of the pieces between matches and of the matches add up to the places: first over whole blocks, then within each
+    block. Surroundings come from the neighbouring pieces, so no part of the text is walked again for each match.
+    """
     none = F.array().cast(_SPANS)
+    state = f"struct<at:bigint,out:{_SPANS}>"
 
     def placed(p: Column) -> Column:
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")).cast(f"struct<at:bigint,out:{_SPANS}>")
+        hits, gaps = p["hits"], p["gaps"]
+        n = F.size(hits)
+        blocks = F.sequence(F.lit(0), F.ceil(n / BLOCK).cast("int") - 1)
+        ids = lambda b: F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, n) - 1)
+        tail = lambda c: F.coalesce(F.right(c, F.lit(REACH)), F.lit(""))
 
         def step(a: Column, i: Column) -> Column:
-            hit = F.get(p["hits"], i)
-            begin = a["at"] + F.length(F.get(p["gaps"], i))
-            span = F.struct(begin.alias("start"), (begin + F.length(hit)).alias("end"), hit.alias("hit"))
-            return F.struct((begin + F.length(hit)).alias("at"), F.concat(a["out"], F.array(span)).alias("out")).cast(f"struct<at:bigint,out:{_SPANS}>")
+            hit = F.get(hits, i)
+            begin = a["at"] + F.length(F.get(gaps, i))
+            end = begin + F.length(hit)
+            before = F.concat(tail(F.get(gaps, i - 1)), tail(F.get(hits, i - 1)), tail(F.get(gaps, i)))
+            after = F.left(F.concat(F.left(F.get(gaps, i + 1), F.lit(REACH)), F.coalesce(F.left(F.get(hits, i + 1), F.lit(REACH)), F.lit(""))), F.lit(REACH))
+            span = F.struct(begin.alias("start"), end.alias("end"), hit.alias("hit"), before.alias("before"), after.alias("after"))
+            return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out")).cast(state)
+
+        length = lambda b: F.aggregate(ids(b), F.lit(0).cast("bigint"), lambda t, i: t + F.length(F.get(gaps, i)) + F.length(F.get(hits, i)))
+        offsets = F.aggregate(blocks, F.array(F.lit(0).cast("bigint")), lambda t, b: F.concat(t, F.array(F.element_at(t, -1) + length(b))))
 
-        return F.when(F.size(p["hits"]) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(p["hits"]) - 1), start, step)["out"])
+        def of_block(o: Column, b: Column) -> Column:
+            return F.aggregate(ids(b), F.struct(F.get(o, b).alias("at"), none.alias("out")).cast(state), step)["out"]
+
+        return F.when(n == 0, none).otherwise(let(offsets, lambda o: F.flatten(F.transform(blocks, lambda b: of_block(o, b)))))
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return let(F.struct(hits.alias("hits"), F.split(text, pattern, -1).alias("gaps")), placed)
@@ -103,34 +124,36 @@ def _word(text: Column, pattern: str, group: int) -> Column:
     return F.lower(F.regexp_extract(text, pattern, group))
 
 
+def _is_seed(token: Column) -> Column:
+    """Whether a token holds a base match of its own."""
+    ip = F.regexp_extract(token, IP, 0)
+    card = F.regexp_extract(token, CARD, 0)
+    return (F.contains(token, F.lit("@")) & token.rlike(EMAIL)) | ((ip != "") & RULES["ip"][2](ip)) | ((card != "") & _is_card(card)) | (F.contains(token, F.lit("+")) & F.length(_digits(F.regexp_extract(token, PHONE, 0))).between(8, 15))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(uid, doc_id, digest, email, ip, card, phone, tokens): spans by kind, and tokens with their contexts; the text is read once."""
     text = F.col("text")
     own = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.select("*", F.xxhash64("text").alias("digest"), *[_base(text, k).alias(k) for k in RULES], F.when(text.rlike("[0-9]"), located(text, TOKEN)).otherwise(F.array().cast(_SPANS)).alias("runs"))
-    seeds = F.concat(*[F.col(k) for k in RULES])
 
     def token(t: Column, seed: Column) -> Column:
-        reach = F.lit(REACH)
-        before = F.substring(text, F.greatest(t["start"] - reach, F.lit(0)).cast("int") + 1, F.least(t["start"], reach).cast("int"))
-        after = F.substring(text, t["end"].cast("int") + 1, reach)
         return F.struct(
             t["start"].alias("start"),
             t["end"].alias("end"),
-            F.lower(F.substring(t["hit"], F.lit(1), F.lit(200))).alias("instance"),
+            F.lower(F.left(t["hit"], F.lit(200))).alias("instance"),
             seed.alias("seed"),
             F.array(
-                F.concat(F.lit("l:"), _word(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)),
-                F.concat(F.lit("b:"), _word(before, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)),
-                F.concat(F.lit("r:"), _word(after, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)),
+                F.concat(F.lit("l:"), _word(t["before"], r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)),
+                F.concat(F.lit("b:"), _word(t["before"], r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)),
+                F.concat(F.lit("r:"), _word(t["after"], r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)),
             ).alias("patterns"),
         )
 
-    # an e-mail address without a digit is an instance as well
-    plain = F.filter("email", lambda s: ~F.exists("runs", lambda r: (r["start"] < s["end"]) & (s["start"] < r["end"])))
-    inside = lambda t: F.exists(seeds, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    tokens = F.concat(F.transform("runs", lambda t: token(t, inside(t))), F.transform(plain, lambda t: token(t, F.lit(True))))
-    places = lambda k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    # seeds that are no token: of several words, or without a digit
+    other = F.filter(F.concat(*[F.col(k) for k in RULES]), lambda s: s["hit"].rlike(r"[\x20\x09-\x0D]") | ~s["hit"].rlike("[0-9]"))
+    tokens = F.concat(F.transform("runs", lambda t: token(t, _is_seed(t["hit"]))), F.transform(other, lambda t: token(t, F.lit(True))))
+    places = lambda k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).cast(_PLACES)
     return own.select("uid", "doc_id", "digest", *[places(k).alias(k) for k in RULES], tokens.alias("tokens"))
 
 
@@ -158,7 +181,9 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
     hits = unseen.select("uid", "t.start", "t.end", F.explode("t.patterns").alias("pattern")).join(patterns, "pattern")
     extra = hits.select("uid", "start", "end").distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("id"))
     every = rows.select("uid", "doc_id", "digest", *RULES).join(extra, "uid", "left")
-    every = every.withColumn("id", F.coalesce("id", F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    seeds = F.concat(*[F.col(k) for k in RULES])
+    apart = lambda t: ~F.exists(seeds, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+    every = every.withColumn("id", F.when(F.col("id").isNull(), F.array().cast(_PLACES)).otherwise(F.filter("id", apart)))
 
     def of(kind: str) -> Column:
         ordered = F.array_sort(F.col(kind))
