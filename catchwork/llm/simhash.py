@@ -13,8 +13,8 @@ with each set of t_i bits blanked out.
 A bucket of more than ``bucket`` fingerprints is not worked on in one task: its members agree on the bits
 behind the key, so the same principle is applied again to their remaining bits, until buckets are
 small. The remaining bits run out, so this ends with at most 2^11 distinct fingerprints in a bucket, and
-nothing is dropped. Within a bucket every pair is verified, but only a spanning forest of its links
-is passed on, never all pairs.
+nothing is dropped. Within a bucket links are verified against all members, but only a star for each
+connected part is passed on, never all pairs.
 
 Cases: null, empty and wordless texts have fingerprint zero, linked like any other. One or two words are
 one shingle. Repeated rows give repeated result rows. A null doc_id takes part in linking but names no
@@ -232,7 +232,7 @@ def _split_again(hot: DataFrame, radius: int) -> DataFrame:
 
 
 def forest(x: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links among fingerprints."""
+    """Edges from the first fingerprint of each component of links to its others: a component of n has n - 1."""
     a, b, left = [], [], np.unique(x)
     while len(left) > 1:
         todo, left = [left[0]], left[1:]
@@ -283,7 +283,7 @@ def _links(cold: DataFrame, radius: int) -> DataFrame:
 
 
 def near_links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) among distinct fingerprints whose components are those of all pairs within ``radius`` bits."""
+    """Edges (a, b) among distinct fingerprints whose components are those of all pairs within ``radius`` bits."""
     keyed, links = _keyed(fps, plan_probes(fps, radius)), []
     while True:
         sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("key", "k")
