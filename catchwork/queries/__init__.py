@@ -1,5 +1,5 @@
 """Registered queries of the engine's own operators, each beside the SQL that it must equal."""
 
-from . import geo, joins, measures, networks, rasters, relational, sites, texts
+from . import composites, geo, joins, measures, networks, rasters, relational, sites, texts
 
-MODULES = (relational, joins, sites, measures, texts, geo, networks, rasters)
+MODULES = (composites, relational, joins, sites, measures, texts, geo, networks, rasters)

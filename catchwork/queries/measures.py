@@ -12,13 +12,13 @@ from .base import SITES, Registry, lat, r4, sites, sql_lat, table
 query = Registry()
 
 
-@query("""select c_nationkey, round(sum(case when ind then c_acctbal end), 4) ind_sum, round(avg(case when ind then c_acctbal end), 4) ind_mean, round(median(case when ind then c_acctbal end), 4) ind_median, round(stddev_samp(case when ind then c_acctbal end), 4) ind_std,
-    round(sum(case when not ind then c_acctbal end), 4) res_sum, round(avg(case when not ind then c_acctbal end), 4) res_mean, round(median(case when not ind then c_acctbal end), 4) res_median, round(stddev_samp(case when not ind then c_acctbal end), 4) res_std
+@query("""select c_nationkey, round(sum(case when ind then c_acctbal end), 6) ind_sum, round(avg(case when ind then c_acctbal end), 6) ind_mean, round(median(case when ind then c_acctbal end), 6) ind_median, round(stddev_samp(case when ind then c_acctbal end), 6) ind_std,
+    round(sum(case when not ind then c_acctbal end), 6) res_sum, round(avg(case when not ind then c_acctbal end), 6) res_mean, round(median(case when not ind then c_acctbal end), 6) res_median, round(stddev_samp(case when not ind then c_acctbal end), 6) res_std
     from (select *, c_mktsegment = 'MACHINERY' ind from customer) group by 1 having count(case when not ind then 1 end) > 0""")
 def e6_country_measures(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").withColumn("ind", F.col("c_mktsegment") == "MACHINERY")
     m = ops.country_measures(c, "c_nationkey", "c_acctbal", "ind").drop("res_n")
-    return m.select("c_nationkey", *[r4(x).alias(x) for x in m.columns if x != "c_nationkey"])
+    return m.select("c_nationkey", *[r4(x, 6).alias(x) for x in m.columns if x != "c_nationkey"])
 
 
 @query("select l_partkey % 97 as tile, year(l_shipdate)::int as year, round(sum(l_quantity), 2) zonal_sum from lineitem group by 1, 2")
