@@ -62,5 +62,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontaminate, op2_substring, op3_langid, op4_pii, op5_license, op6_quality, op7_lm, op8_simhash, op9_bpe, op10_secrets)}
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = rf"regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP1_SQL = f"""with b as (select item_id, {_ITEM_WORDS} w from benchmark),
+  win as (select distinct item_id, least(len(w), 10) n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') win from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from b where len(w) > 0)),
+  d as (select row_number() over () rid, doc_id, {_ITEM_WORDS} w from documents),
+  p as (select rid, n, w, unnest(range(1, len(w) - n + 2)) i from d, (select distinct n from win) where len(w) >= n),
+  h as (select rid, i, p.n, item_id from (select rid, i, n, array_to_string(w[i:i + n - 1], ' ') s from p) p join win on s = win and p.n = win.n),
+  c as (select rid, count(distinct k)::bigint n_hit from (select rid, unnest(range(i, i + n)) k from h) group by 1),
+  m as (select rid, list_sort(list_distinct(list(item_id::varchar))) ids from h group by 1)
+  select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(len(ids), 0)::bigint n_items, sha256(coalesce(array_to_string(ids, ','), '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+  from d left join c using (rid) left join m using (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontaminate": OP1_SQL}
