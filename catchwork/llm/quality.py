@@ -104,8 +104,8 @@ def _lines(text: Column) -> Column:
     """Normalised worded lines: hash and number of words."""
 
     def one(line: Column) -> Column:
-        plain = F.regexp_replace(F.regexp_replace(F.lower(line), BLANK_RUN, " "), "[0-9]+", "0")
-        return F.struct(F.xxhash64(plain).alias("h"), F.size(F.split(plain, " ")).cast("long").alias("w"), F.length(plain).alias("n"))
+        words = F.split(F.regexp_replace(F.lower(line), "[0-9]+", "0"), BLANK_RUN)
+        return let(words, lambda ws: F.struct(F.xxhash64(ws).alias("h"), F.size(ws).cast("long").alias("w"), F.length(line).alias("n")))
 
     return F.transform(F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != ""), one)
 
