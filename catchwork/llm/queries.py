@@ -76,5 +76,24 @@ OP1_SQL = f"""with b as (select item_id, {_ITEM_WORDS} w from benchmark),
   from d left join c using (rid) left join m using (rid)"""
 
 
+_BLANK = r"[\x20\x09-\x0D]+"
+_TRIMMED = "trim({}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+OP6_SQL = rf"""with d as (select row_number() over () rid, doc_id, source, coalesce(text, '') t from documents),
+  w as (select *, [x for x in regexp_split_to_array(t, '{_BLANK}') if x <> ''] w, [x for x in string_split(t, chr(10)) if {_TRIMMED.format('x')} <> ''] lines from d),
+  g as (select rid, i, count(*) over (partition by rid, a) n from (select rid, i, w[i:i + 2] a from (select rid, w, unnest(range(1, len(w) - 1)) i from w where len(w) > 2))),
+  r as (select rid, count(distinct k)::bigint n from (select rid, unnest(range(i, i + 3)) k from g where n > 1) group by 1),
+  base as (select w.rid, doc_id, source, len(w)::bigint n_words, length(regexp_replace(t, '{_BLANK}', '', 'g'))::bigint word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint n_symbols,
+    (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words from w left join r on w.rid = r.rid),
+  l as (select rid, source, {_TRIMMED.format('line')} line from (select rid, source, unnest(lines) line from w)),
+  n as (select rid, source, length(line) size, regexp_split_to_array(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '{_BLANK}') line from l),
+  c as (select rid, arg_max(line, struct_pack(a := size, b := line)) as copy from n group by 1),
+  f as (select n.source, line, count(distinct copy) docs from n join c on n.rid = c.rid group by 1, 2),
+  o as (select f.source, line from f join (select source, count(*) total from documents group by 1) h on f.source is not distinct from h.source where docs > 20 and docs > total * 0.02::double),
+  k as (select rid, sum(len(n.line)) lost from n join o on n.source is not distinct from o.source and n.line = o.line group by 1)
+  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or n_repeat_words * 100 > n_words * 50 base_failed,
+    not (n_words < 50 or n_repeat_words * 100 > n_words * 50) and n_words - coalesce(lost, 0) >= n_words * 0.3::double kept from base left join k on base.rid = k.rid"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op6_quality": OP6_SQL}
