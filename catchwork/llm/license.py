@@ -10,6 +10,8 @@ Cases: null text has no units and no license. Repeated rows give repeated result
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ TEMPLATES = [
     ("all-rights-reserved", "All rights reserved."),
 ]
 LEAST = 0.8
+_TEMPLATES = "array<struct<name:string,size:int,grams:array<struct<gram:string,n:int>>>>"
 
 
 def _plain(text: str) -> list[str]:
@@ -50,12 +53,11 @@ def _by_size(templates: list[tuple[str, str]], least: float) -> Column:
         sized.append((name, grams))
     top = max(int(len(g) * (2 - least) / least) for _, g in sized)
 
-    def one(name: str, grams: list[str]) -> Column:
-        counted = [F.struct(F.lit(g).alias("gram"), F.lit(grams.count(g)).alias("n")) for g in dict.fromkeys(grams)]
-        return F.struct(F.lit(name).alias("name"), F.lit(len(grams)).alias("size"), F.array(*counted).alias("grams"))
+    def one(name: str, grams: list[str]) -> dict:
+        return {"name": name, "size": len(grams), "grams": [{"gram": g, "n": grams.count(g)} for g in dict.fromkeys(grams)]}
 
-    kind = "array<struct<name:string,size:int,grams:array<struct<gram:string,n:int>>>>"
-    return F.array(*[F.array(*[one(t, g) for t, g in sized if 2 * min(n, len(g)) >= least * (n + len(g))]).cast(kind) for n in range(top + 1)])
+    rows = [[one(t, g) for t, g in sized if 2 * min(n, len(g)) >= least * (n + len(g))] for n in range(top + 1)]
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{_TEMPLATES}>")  # folded to a literal once, when the plan is optimised
 
 
 def licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
@@ -67,7 +69,7 @@ def licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, le
     units = F.filter(F.transform(F.concat(F.split(text, "\n"), paragraphs), plain), lambda w: F.size(w) > 1)
 
     def matches(words: Column) -> Column:
-        near = F.coalesce(F.get(table, F.size(words) - 1), F.array().cast("array<struct<name:string,size:int,grams:array<struct<gram:string,n:int>>>>"))
+        near = F.coalesce(F.get(table, F.size(words) - 1), F.array().cast(_TEMPLATES))
         grams = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
 
         def dice(t: Column, own: Column) -> Column:
