@@ -6,8 +6,8 @@ normalised (case, blanks, digits) and hashed, distinct documents are counted per
 documents of the host than its limit are removed; a document that keeps less than ``MIN_LEFT`` of its
 words is depleted and rejected.
 
-Documents with the same longest line are taken for copies of one another and count once, so
-that copying a document does not turn its own lines into boilerplate; copies are another operator's task.
+Documents of a host with the same text are copies of one another and count once, so that copying a document does not
+turn its own lines into boilerplate; copies are another operator's task.
 The limit of a host is ``MIN_DOCS`` documents or the share ``MAX_SHARE`` of its documents, whichever is more.
 
 Cases: null text has no words and fails the base rules. A null host is a host of its own. Repeated rows give repeated
@@ -112,10 +112,11 @@ def _lines(text: Column) -> Column:
 
 def frequent_lines(docs: DataFrame, host: str, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(host, h) of the lines above their host's limit."""
-    own = docs.where("text is not null").select(F.col(host).cast("string").alias("host"), _lines(F.col("text").cast("string")).alias("lines"))
-    longest = F.aggregate("lines", F.struct(F.lit(-1).alias("n"), F.lit(0).cast("long").alias("h")), lambda a, x: F.greatest(a, F.struct(x["n"].alias("n"), x["h"].alias("h"))))
-    seen = own.select("host", longest["h"].alias("copy"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    counts = seen.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
+    own = docs.where("text is not null").select(F.col(host).cast("string").alias("host"), F.xxhash64(F.col("text").cast("string")).alias("copy"), _lines(F.col("text").cast("string")).alias("lines"))
+    # equal texts of a host meet before their lines are exploded
+    texts = own.groupBy("host", "copy").agg(F.first("lines").alias("lines"))
+    seen = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    counts = seen.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
     hosts = docs.groupBy(F.col(host).cast("string").alias("own")).agg(F.count(F.lit(1)).alias("total"))
     limited = counts.where(F.col("docs") > min_docs).join(hosts, F.col("host").eqNullSafe(F.col("own")))
     return limited.where(F.col("docs") > F.col("total") * max_share).select("host", "h")

@@ -134,6 +134,14 @@ def test_op6_removes_frequent_lines_but_not_copies(spark):
     assert all(not got[100 + k]["kept"] and not got[100 + k]["base_failed"] and got[100 + k]["left_words"] == 1 for k in range(5))
 
 
+def test_op6_counts_documents_that_share_their_longest_line(spark):
+    letters = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(3))
+    notice = " ".join(f"notice{letters(j)}" for j in range(60))  # longer than every own line
+    rows = [(k, f"{notice}\ntail{letters(k)}", "h") for k in range(30)] + [(100, f"{notice}\nother", "g")]
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(not got[k]["kept"] and not got[k]["base_failed"] and got[k]["left_words"] == 1 for k in range(30)) and got[100]["kept"]
+
+
 def test_op7(docs):
     rows = plain(docs)
     got = [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in lm.score(docs).collect()]
