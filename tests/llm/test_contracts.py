@@ -156,6 +156,13 @@ def test_op7_is_a_model_of_text(spark, sf):
     assert again == pytest.approx(got[0], rel=1e-9)
 
 
+def test_op7_reads_texts_in_order(spark):
+    texts = ["one two three four five six seven eight"] * 40 + ["eight seven six five four three two one"]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score(d).collect()}
+    assert got[0] > got[40] + 1  # the same words, in an order that was not trained
+
+
 def test_op8(docs):
     rows = [r for r in plain(docs)]
     prints = [brute.fingerprint(t) for _, t in rows]
