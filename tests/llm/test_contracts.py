@@ -163,6 +163,19 @@ def test_op7_reads_texts_in_order(spark):
     assert got[0] > got[40] + 1  # the same words, in an order that was not trained
 
 
+def test_op7_trains_on_all_texts_and_slots_grow(spark):
+    assert [lm.slots_for(v) for v in (0, lm.SLOTS, lm.SLOTS + 1, 5 * lm.SLOTS)] == [lm.SLOTS, lm.SLOTS, 2 * lm.SLOTS, 8 * lm.SLOTS]
+    texts = [f"word{k % 7} then{k % 5} and{k % 3}" for k in range(60)]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    one, many = lm.fit(d, 240, shard=1000), lm.fit(d.repartition(5), 240, shard=40)
+    want = lm.Mixer(one.zeros, one.ones)
+    rows = d.select("text", F.xxhash64("text", F.lit(1)).alias("at")).orderBy("at").collect()
+    assert sum(want.train(lm.stream(lm.tokens(r["text"].encode()))) for r in rows) == 8 * sum(len(t) + 2 for t in texts)
+    assert abs(one.weights - want.weights).max() < 1e-6  # every text, in hash order
+    again = lm.fit(d.repartition(3), 240, shard=40)
+    assert (many.weights == again.weights).all() and (many.weights != one.weights).any()
+
+
 def test_op8(docs):
     rows = [r for r in plain(docs)]
     prints = [brute.fingerprint(t) for _, t in rows]
