@@ -79,7 +79,7 @@ _CELLS = f"(select country, i, j, 0.0::double + (i + 0.5::double) * 1.0::double
 
 
 def _allocated(spark: SparkSession, d: str, metric: str) -> DataFrame:
-    s = sites(spark, d).where("pid <= 400").selectExpr("pid sid", "country", "cast((pid * 37) % 120 as double) / 10D sx", "cast((pid * 53) % 120 as double) / 10D sy", "1D + cast(pid % 5 as double) weight")
+    s = sites(spark, d).selectExpr("pid sid", "country", "cast((pid * 37) % 120 as double) / 10D sx", "cast((pid * 53) % 120 as double) / 10D sy", "1D + cast(pid % 5 as double) weight")
     box = s.select("country").distinct().selectExpr("country", "0D minx", "0D miny", "12D maxx", "12D maxy")
     return allocation.allocate(allocation.grid(box, "country", 1.0), s, "country", metric)
 

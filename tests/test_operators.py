@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catchwork import registry
 from catchwork.functions import geo, text
 from catchwork.operators import allocation, cluster, kernel, network, polygon_join, raster, relational, spatial_join
 from catchwork.plans.graph import connected_components
@@ -116,6 +117,25 @@ def test_every_cell_has_one_site(spark):
     assert area == 20
 
 
+def test_allocation_queries_take_all_sites(spark, tmp_path):
+    keys = range(1, 1001)
+    group = lambda k: 2 if k > 600 else k % 2
+    spark.createDataFrame([(k, group(k), float(k), "m") for k in keys], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+
+    def nearest(country, i, j, distance):
+        far = lambda k: math.sqrt((i + 0.5 - k * 37 % 120 / 10) ** 2 + (j + 0.5 - k * 53 % 120 / 10) ** 2)
+        return min((distance(far(k), 1.0 + k % 5), k) for k in keys if group(k) == country)[1]
+
+    metrics = {"multiplicative": lambda d, w: d / w, "additive": lambda d, w: math.sqrt(d * d - w * w if d * d - w * w >= 0 else 0.01)}
+    for name, metric in metrics.items():
+        want = {(c, i, j): nearest(c, i, j, metric) for c in range(3) for i in range(12) for j in range(12)}
+        got = {(r["country"], r["i"], r["j"]): r["site"] for r in registry.queries()[f"l7_voronoi_{name}"](spark, str(tmp_path)).collect()}
+        assert got == want and max(got.values()) > 600
+    areas = {(r["country"], r["site"]): r["n_cells"] for r in registry.queries()["l10_region_areas"](spark, str(tmp_path)).collect()}
+    outlines = registry.queries()["l9_region_outlines"](spark, str(tmp_path)).collect()
+    assert sum(areas.values()) == 432 and {(r["country"], r["site"]) for r in outlines} == areas.keys()
+
+
 def test_outline_with_hole_and_corner():
     hole = [(i, j) for i in range(3) for j in range(3) if (i, j) != (1, 1)]
     rings = allocation.outline(hole)
