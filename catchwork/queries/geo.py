@@ -64,7 +64,7 @@ _TY = "least(greatest(cast(floor((1.0 - asinh(tan(radians({}))) / pi()) / 2.0 *
 @query(f"""select pid, tx || '-' || ty || '-8' tile from (select pid, unnest(generate_series({_TX.format('x - 1 + 180')}, {_TX.format('x + 1 + 180')})) tx, y0, y1 from (select pid, x, {_TY.format('y + 1')} y0, {_TY.format('y - 1')} y1 from {SITES} where pid % 5 = 0)) a, lateral (select unnest(generate_series(y0, y1)) ty) b""")
 def i18_tiles_of_boxes(spark: SparkSession, d: str) -> DataFrame:
     b = g.box_around(F.col("x"), F.col("y"), 1.0)
-    return sites(spark, d).where("pid % 5 = 0").select("pid", F.explode(g.tiles_of_box(*b, 8)).alias("tile"))
+    return sites(spark, d).select("pid", F.explode(g.tiles_of_box(*b, 8)).alias("tile"))
 
 
 @query(f"""select pid, round(tx / 256.0 * 360 - 180, 6) minx, round(degrees(atan(sinh(pi() * (1 - 2 * (ty + 1) / 256.0::double)))), 6) miny, round((tx + 1) / 256.0 * 360 - 180, 6) maxx, round(degrees(atan(sinh(pi() * (1 - 2 * ty / 256.0::double)))), 6) maxy from (select pid, {_TX.format('x + 180')} tx, {_TY.format('y')} ty from {SITES})""")
@@ -77,7 +77,7 @@ def i18_tile_boxes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select pid, round(degrees(atan2(y + pid % 7 - 3 - y, x + pid % 5 - 2 - x)), 4) angle from {SITES} where pid % 5 <> 2")
 def i10_line_angles(spark: SparkSession, d: str) -> DataFrame:
     x, y, p = F.col("x"), F.col("y"), F.col("pid")
-    return sites(spark, d).where("pid % 5 <> 2").select("pid", r4(g.line_angle(x, y, x + p % 5 - 2, y + p % 7 - 3)).alias("angle"))
+    return sites(spark, d).select("pid", r4(g.line_angle(x, y, x + p % 5 - 2, y + p % 7 - 3)).alias("angle"))
 
 
 @query(f"select pid, round(x + (pid % 4 + 1) / 2.0, 6) cx, round(y + (pid % 3 + 1) / 2.0, 6) cy, ((pid % 4 + 1) * (pid % 3 + 1))::double area from {SITES}")

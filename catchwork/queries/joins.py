@@ -19,7 +19,7 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _squares(spark: SparkSession, d: str) -> DataFrame:
-    return sites(spark, d).where("pid % 2 = 0").selectExpr("pid bid", "country", "x - 1.5D minx", "y - 1.5D miny", "x + 1.5D maxx", "y + 1.5D maxy")
+    return sites(spark, d).selectExpr("pid bid", "country", "x - 1.5D minx", "y - 1.5D miny", "x + 1.5D maxx", "y + 1.5D maxy")
 
 
 @query(f"select pid sid, tid, round({_DIST}, 4) dist from {SITES} s join {TARGETS} t on {_DIST} < 6")

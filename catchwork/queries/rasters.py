@@ -47,7 +47,7 @@ _LAND = f"(select row * 360 + col pid, row, col, max(value) as value, any_value(
 
 
 def _land(spark: SparkSession, d: str) -> DataFrame:
-    p = pixels(spark, d).where("pid % 11 = 0").groupBy("row", "col").agg(F.max("value").alias("value"), F.first("country").alias("country"))
+    p = pixels(spark, d).groupBy("row", "col").agg(F.max("value").alias("value"), F.first("country").alias("country"))
     return p.withColumn("pid", F.col("row") * 360 + F.col("col"))
 
 
@@ -77,7 +77,7 @@ _W, _H = "least(p.x + 0.5, b.maxx) - greatest(p.x - 0.5, b.minx)", "least(p.y +
     from (select b.bid, ({_W}) * ({_H}) f, greatest(p.value, 0) v from {PIXELS} p join {_BOXES} b on {_W} > 0 and {_H} > 0 where b.bid % 10 = 0) group by 1""")
 def e8_e9_zonal_statistics(spark: SparkSession, d: str) -> DataFrame:
     p = pixels(spark, d).selectExpr("x - 0.5D minx", "y - 0.5D miny", "value")
-    z = raster.zonal(p, _boxes(spark, d).where("bid % 10 = 0").drop("country"), 1.0, 4.0)
+    z = raster.zonal(p, _boxes(spark, d).drop("country"), 1.0, 4.0)
     return z.select("bid", r4("sum").alias("sum"), r4("count").alias("count"), r4("mean").alias("mean"), r4("std", 3).alias("std"))
 
 
