@@ -37,7 +37,7 @@ def d11_nearest_within_zone(spark: SparkSession, d: str) -> DataFrame:
     return spatial_join.nearest_within(s, t, 5.0, ["epsg"]).withColumn("dist", r4("dist"))
 
 
-@query(f"select country, count(*)::bigint n, sum(value) as value from {PIXELS} p where not exists (select 1 from {SITES} s where s.pid % 20 = 0 and p.x >= s.x - 3 and p.x < s.x + 3 and p.y >= s.y - 3 and p.y < s.y + 3) group by 1")
+@query(f"select country, count(*)::bigint n, sum(value) as value from {PIXELS} p where not exists (select 1 from {SITES} s where p.x >= s.x - 3 and p.x < s.x + 3 and p.y >= s.y - 3 and p.y < s.y + 3) group by 1")
 def k2_masked_pixels(spark: SparkSession, d: str) -> DataFrame:
     b = sites(spark, d).selectExpr("pid bid", "x - 3D minx", "y - 3D miny", "x + 3D maxx", "y + 3D maxy")
     free = spatial_join.points_in_boxes(pixels(spark, d), b, 6.0, how="left_anti")
@@ -85,7 +85,7 @@ def n7_nearest_reference_plant(spark: SparkSession, d: str) -> DataFrame:
     return j.select("tid", "pid", F.round("pop", 2).alias("pop"), F.round(fx.multiple(F.col("pop"), F.lit(1000.0)), 6).alias("multiple"))
 
 
-@query(f"""with u as (select pid, x, y from {SITES} where pid % 3 = 0 union all select 100000 + tid, tx, ty from {TARGETS} t where not exists (select 1 from {SITES} s where s.pid % 3 = 0 and {_DIST} <= 3)),
+@query(f"""with u as (select pid, x, y from {SITES} union all select 100000 + tid, tx, ty from {TARGETS} t where not exists (select 1 from {SITES} s where {_DIST} <= 3)),
     e as (with recursive e as (select a.pid a, b.pid b from u a join u b on sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1.5), r(pid, other) as (select a, b from e union select r.pid, e.b from r join e on r.other = e.a) select pid, min(other) as cluster from r group by 1) select cluster, count(*)::bigint n from e group by 1""")
 def n8_site_merge(spark: SparkSession, d: str) -> DataFrame:
     own = sites(spark, d)
@@ -95,7 +95,7 @@ def n8_site_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""select tile, round(sum(value), 2) as risk, count(*)::bigint n from (select p.value, cast(least(greatest(floor((p.x + 180.0) / 360.0 * 64), 0), 63) as int) || '-' || cast(least(greatest(floor((1.0 - asinh(tan(radians(p.y))) / pi()) / 2.0 * 64), 0), 63) as int) || '-6' tile from {PIXELS} p
-    where exists (select 1 from {SITES} s where s.pid % 10 = 0 and p.x >= s.x - 2 and p.x < s.x + 2 and p.y >= s.y - 2 and p.y < s.y + 2)) group by 1""")
+    where exists (select 1 from {SITES} s where p.x >= s.x - 2 and p.x < s.x + 2 and p.y >= s.y - 2 and p.y < s.y + 2)) group by 1""")
 def n_tile_risk(spark: SparkSession, d: str) -> DataFrame:
     b = sites(spark, d).selectExpr("pid bid", "x - 2D minx", "y - 2D miny", "x + 2D maxx", "y + 2D maxy")
     hit = spatial_join.points_in_boxes(pixels(spark, d), b, 4.0, how="left_semi")

@@ -61,7 +61,7 @@ _TX = "least(greatest(cast(floor(({}) / 360.0 * 256) as int), 0), 255)"
 _TY = "least(greatest(cast(floor((1.0 - asinh(tan(radians({}))) / pi()) / 2.0 * 256) as int), 0), 255)"
 
 
-@query(f"""select pid, tx || '-' || ty || '-8' tile from (select pid, unnest(generate_series({_TX.format('x - 1 + 180')}, {_TX.format('x + 1 + 180')})) tx, y0, y1 from (select pid, x, {_TY.format('y + 1')} y0, {_TY.format('y - 1')} y1 from {SITES} where pid % 5 = 0)) a, lateral (select unnest(generate_series(y0, y1)) ty) b""")
+@query(f"""select pid, tx || '-' || ty || '-8' tile from (select pid, unnest(generate_series({_TX.format('x - 1 + 180')}, {_TX.format('x + 1 + 180')})) tx, y0, y1 from (select pid, x, {_TY.format('y + 1')} y0, {_TY.format('y - 1')} y1 from {SITES})) a, lateral (select unnest(generate_series(y0, y1)) ty) b""")
 def i18_tiles_of_boxes(spark: SparkSession, d: str) -> DataFrame:
     b = g.box_around(F.col("x"), F.col("y"), 1.0)
     return sites(spark, d).select("pid", F.explode(g.tiles_of_box(*b, 8)).alias("tile"))
@@ -74,7 +74,7 @@ def i18_tile_boxes(spark: SparkSession, d: str) -> DataFrame:
     return sites(spark, d).select("pid", *[r4(c, 6).alias(n) for n, c in zip(("minx", "miny", "maxx", "maxy"), box, strict=True)])
 
 
-@query(f"select pid, round(degrees(atan2(y + pid % 7 - 3 - y, x + pid % 5 - 2 - x)), 4) angle from {SITES} where pid % 5 <> 2")
+@query(f"select pid, round(degrees(atan2(y + pid % 7 - 3 - y, x + pid % 5 - 2 - x)), 4) angle from {SITES}")
 def i10_line_angles(spark: SparkSession, d: str) -> DataFrame:
     x, y, p = F.col("x"), F.col("y"), F.col("pid")
     return sites(spark, d).select("pid", r4(g.line_angle(x, y, x + p % 5 - 2, y + p % 7 - 3)).alias("angle"))

@@ -74,7 +74,7 @@ def l2_weights_log(spark: SparkSession, d: str) -> DataFrame:
     return allocation.with_weights(sites(spark, d), "pop", "country", "log").select("pid", "country", F.round("weight", 8).alias("weight"))
 
 
-_GROUPS = f"(select country, count(*) n from {SITES} where pid <= 400 group by 1)"
+_GROUPS = f"(select country, count(*) n from {SITES} group by 1)"
 _CELLS = f"(select country, i, j, 0.0::double + (i + 0.5::double) * 1.0::double x, 0.0::double + (j + 0.5::double) * 1.0::double y from {_GROUPS}, generate_series(0, 11) a(i), generate_series(0, 11) b(j))"
 
 
@@ -85,7 +85,7 @@ def _allocated(spark: SparkSession, d: str, metric: str) -> DataFrame:
 
 
 def _allocated_sql(score: str) -> str:
-    own = "(select pid sid, country, cast((pid * 37) % 120 as double) / 10.0::double sx, cast((pid * 53) % 120 as double) / 10.0::double sy, 1.0::double + cast(pid % 5 as double) weight from " + SITES + " where pid <= 400)"
+    own = "(select pid sid, country, cast((pid * 37) % 120 as double) / 10.0::double sx, cast((pid * 53) % 120 as double) / 10.0::double sy, 1.0::double + cast(pid % 5 as double) weight from " + SITES + ")"
     return f"(select country, i, j, min(struct_pack(d := {score}, sid := sid)).sid site from (select c.*, s.sid, s.weight, (c.x - s.sx) * (c.x - s.sx) + (c.y - s.sy) * (c.y - s.sy) d2 from {_CELLS} c join {own} s on c.country = s.country) group by 1, 2, 3)"
 
 
