@@ -109,3 +109,22 @@ def op10(text):
     spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 16]
     spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text or "") if len(m[0]) >= 32]
     return [(k, a, b) for a, _, b, k in sorted(spans)]
+
+
+def class_contexts(words, k, node):
+    """Keys of a token's bit: no word, the word before, the two words before."""
+    before = [words[k - j] if k >= j else None for j in (1, 2)]
+    return [(node,), (node, before[0]), (node, *before)]
+
+
+def class_counts(texts, bits):
+    """[zeros, ones] by key over the class bits of all texts, the empty end included."""
+    counts = collections.defaultdict(lambda: [0, 0])
+    for t in texts:
+        words = [*t.split(), b""]
+        for k, w in enumerate(words):
+            label = zlib.crc32(w) >> (32 - bits)
+            for b in range(bits):
+                for key in class_contexts(words, k, (label | 1 << bits) >> (bits - b)):
+                    counts[key][label >> (bits - 1 - b) & 1] += 1
+    return counts

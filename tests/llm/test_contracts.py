@@ -164,18 +164,62 @@ def test_op7_reads_texts_in_order(spark):
 
 
 def test_op7_trains_on_all_texts_and_slots_grow(spark):
-    assert [lm.slots_for(v) for v in (0, lm.SLOTS, lm.SLOTS + 1, 5 * lm.SLOTS)] == [lm.SLOTS, lm.SLOTS, 2 * lm.SLOTS, 8 * lm.SLOTS]
+    assert [lm.slots_for(v) for v in (0, lm.SLOTS, lm.SLOTS + 1, 1 << 40)] == [lm.SLOTS, lm.SLOTS, 2 * lm.SLOTS, lm.MOST_SLOTS]
     texts = [f"word{k % 7} then{k % 5} and{k % 3}" for k in range(60)]
     d = spark.createDataFrame([(t,) for t in texts], "text string")
-    one, many = lm.fit(d, 240, shard=1000), lm.fit(d.repartition(5), 240, shard=40)
-    want = lm.Mixer(one.zeros, one.ones)
+    reader = spark.sparkContext.broadcast(lm.Classes(lm.SLOTS))
+    one, many = lm.fit(d, 240, reader, shard=1000), lm.fit(d.repartition(5), 240, reader, shard=40)
+    tables = lm.context_tables(d, reader)
+    want = lm.Mixer(*tables, training=True)
     rows = d.select("text", F.xxhash64("text", F.lit(1)).alias("at")).orderBy("at").collect()
-    assert sum(want.train(lm.stream(lm.tokens(r["text"].encode()))) for r in rows) == 8 * sum(len(t) + 2 for t in texts)
+    bits = 0
+    for _, slots, value in reader.value.bits([r["text"].encode() for r in rows]):
+        want.train(slots, value)
+        bits += len(value)
+    assert bits == lm.CLASS_BITS * 4 * 60
     assert abs(one.weights - want.weights).max() < 1e-6  # every text, in hash order
-    again = lm.fit(d.repartition(3), 240, shard=40)
+    again = lm.fit(d.repartition(3), 240, reader, shard=40)
     assert (many.weights == again.weights).all() and (many.weights != one.weights).any()
 
 
+def test_op7_tables_and_mix_equal_brute_force(spark):
+    import math
+    import zlib
+
+    texts = [b"a b a b c", b"b a b a", b"", b"c c c"]
+    slots, bits = 1 << 20, lm.CLASS_BITS
+    reader = spark.sparkContext.broadcast(lm.Classes(slots))
+    zeros, ones = lm.context_tables(spark.createDataFrame([(t.decode(),) for t in texts], "text string"), reader)
+    counts = brute.class_counts(texts, bits)
+    mixer = lm.Mixer(zeros, ones)
+    for t in texts:
+        want, words = 0.0, [*t.split(), b""]
+        for k, w in enumerate(words):
+            label = zlib.crc32(w) >> (32 - bits)
+            for b in range(bits):
+                node, value = (label | 1 << bits) >> (bits - b), label >> (bits - 1 - b) & 1
+                keys = brute.class_contexts(words, k, node)
+                logits = [round(math.log((counts[c][1] + 0.4) / (counts[c][0] + 0.4)) * 600) / 600 for c in keys]
+                mixed = 0.8 * logits[0] + 0.1 * logits[1] + 0.1 * logits[2]
+                place = (min(max(mixed, -8), 8) + 8) * 3
+                low = min(int(place), 47)
+                p = [1 / (1 + math.exp(8 - (low + j) / 3)) for j in (0, 1)]
+                one = p[0] + (p[1] - p[0]) * (place - low)
+                want += math.log10(one if value else 1 - one)
+        assert mixer.scores(reader.value.bits([t]), 1)[0] == pytest.approx(want, abs=1e-3)
+
+
+def test_op7_bit_probabilities_add_up(spark, sf):
+    reader = lm.Spelling(lm.np.arange(256), lm.SLOTS)
+    mixer = lm.Mixer([lm.np.zeros(w, "f4") for w in reader.widths], [lm.np.full(w, 9, "f4") for w in reader.widths])
+    for _, slots, value in reader.bits([b"one", b"\xff\x00two", b""]):
+        assert abs(10 ** mixer.log10(slots, value) + 10 ** mixer.log10(slots, 1 - value) - 1).max() < 1e-5
+    begin, nodes, bits = lm.huffman([5, 1, 1, 9, 2])
+    codes = ["".join(map(str, bits[a:b][::-1])) for a, b in zip(begin, begin[1:], strict=False)]
+    assert sum(2.0 ** -len(c) for c in codes) == 1 and not any(x != y and y.startswith(x) for x in codes for y in codes)
+    assert len(codes[3]) == 1 and sum(n * len(c) for n, c in zip([5, 1, 1, 9, 2], codes, strict=True)) == 33
+
+
 def test_op8(docs):
     rows = [r for r in plain(docs)]
     prints = [brute.fingerprint(t) for _, t in rows]
