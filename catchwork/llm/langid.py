@@ -57,13 +57,18 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return kind, script
 
 
+def lowered(text: str) -> str:
+    """Lower case with the original's offsets: a character whose lower case is longer stays as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c, x in zip(text, map(str.lower, text), strict=True))
+
+
 class Words:
     """The words of some texts: per letter its trigram slot, per word its first letter, script and text."""
 
     def __init__(self, texts: list[str]):
         kind, script = _tables()
-        # lower-casing may lengthen a text; offsets are wanted in the original, so only length-keeping texts are lowered whole
-        low = [t if len(l := t.lower()) != len(t) else l for t in texts]
+        low = [lowered(t) for t in texts]
         x = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in low])]).astype(np.int64)
         inside = kind[x] > 0
