@@ -86,9 +86,8 @@ OP6_SQL = rf"""with d as (select row_number() over () rid, doc_id, source, coale
   base as (select w.rid, doc_id, source, len(w)::bigint n_words, length(regexp_replace(t, '{_BLANK}', '', 'g'))::bigint word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint n_symbols,
     (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words from w left join r on w.rid = r.rid),
   l as (select rid, source, {_TRIMMED.format('line')} line from (select rid, source, unnest(lines) line from w)),
-  n as (select rid, source, length(line) size, regexp_split_to_array(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '{_BLANK}') line from l),
-  c as (select rid, arg_max(line, struct_pack(a := size, b := line)) as copy from n group by 1),
-  f as (select n.source, line, count(distinct copy) docs from n join c on n.rid = c.rid group by 1, 2),
+  n as (select rid, source, regexp_split_to_array(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '{_BLANK}') line from l),
+  f as (select n.source, line, count(distinct copy) docs from n join (select rid, md5(t) as copy from d) c on n.rid = c.rid group by 1, 2),
   o as (select f.source, line from f join (select source, count(*) total from documents group by 1) h on f.source is not distinct from h.source where docs > 20 and docs > total * 0.02::double),
   k as (select rid, sum(len(n.line)) lost from n join o on n.source is not distinct from o.source and n.line = o.line group by 1)
   select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or n_repeat_words * 100 > n_words * 50 base_failed,
