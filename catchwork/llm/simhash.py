@@ -63,15 +63,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+    """(doc_id, digest, fp): a hash of the text, and the fingerprint as a signed long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
             fps = np.array([fingerprint(t) for t in utf8(batch.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(fps)], names=["doc_id", "digest", "fp"])
 
-    return docs.selectExpr("doc_id", "cast(text as string) text").mapInArrow(kernel, f"doc_id {kind}, fp bigint")
+    rows = docs.selectExpr("doc_id", "cast(text as string) text", "xxhash64(coalesce(cast(text as string), '')) digest")
+    return rows.mapInArrow(kernel, f"doc_id {kind}, digest bigint, fp bigint")
 
 
 def _array(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -300,13 +301,17 @@ def near_links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFra
     return out
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+def grouped(docs: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """Per document: doc_id, digest (of the text), fp, root (a fingerprint that stands for the component), component_id."""
     own = checkpointed(fingerprints(docs))
     # exact copies meet in one row, combined map-side
     groups = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(near_links(groups.select("fp"), radius, bucket)).withColumnRenamed("node", "fp")
     rooted = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    return grouped(docs, radius, bucket).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
