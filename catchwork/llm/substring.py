@@ -7,7 +7,8 @@ more documents are repeats, their occurrence in the smallest document stays, the
 spans, and spans of under ``SPAN`` characters (common short phrases) are no repeats.
 
 The counts per digest are combined map-side, so that a passage of a third of all documents is no hot group, and the join of
-the repeated digests back to the chunks can be split by adaptive execution.
+the repeated digests back to the chunks can be split by adaptive execution. A bounded filter of the repeated digests
+spares chunks that cannot be repeats the shuffle.
 
 Cases: null and empty texts have no chunks. Rows that repeat a document (same id, same text) are one document. A null id is an id
 before all others. Texts of any length are chunked whole. Other columns are ignored.
@@ -21,14 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..plans.stage import checkpointed
 from .arrow import steps, utf8
-from .native import let
 
-LEAST, USUAL, MOST = 16, 40, 128
+LEAST, USUAL, MOST = 12, 24, 96
 SPAN = 96
+#: Bits of the filter of repeated digests: 16 for each of them, within these bounds (16 MB at the most).
+LEAST_FILTER, MOST_FILTER = 1 << 16, 1 << 27
 _GEAR = np.array([(xxhash.xxh64_intdigest(bytes([b]), 1) & 0xFFFF) for b in range(256)], np.uint16)
 
 
@@ -53,51 +58,75 @@ def chunk_ends(text: bytes, least: int = LEAST, usual: int = USUAL, most: int =
     return ends
 
 
-def chunks(docs: DataFrame, once: bool) -> DataFrame:
-    """(doc_id, digest of the text, d1, d2, start, end) of every chunk, in code points; ``once``: each digest of a text once."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, digest) of every document with a text; rows that repeat a document are one."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("digest")).where("text <> ''")
+    twice = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    twice = checkpointed(twice)
+    if twice.isEmpty():
+        return rows
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    again = rows.join(twice, same, "left_semi").groupBy("doc_id", "digest").agg(F.min("text").alias("text"))
+    return rows.join(twice, same, "left_anti").unionByName(again)
+
+
+def chunks(rows: DataFrame, repeated: Broadcast | None = None) -> DataFrame:
+    """(doc_id, digest of the text, d1, d2, start, end) of every chunk, in code points.
+
+    Without ``repeated`` each digest of a text once; with that filter all chunks whose digest may be in it.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "digest", "d1", "d2", "start", "end"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            at, starts, ends, digests = [], [], [], []
+            at, starts, ends, found = [], [], [], []
             for k, text in enumerate(utf8(batch.column("text"))):
-                if not text:
-                    continue
                 cuts = chunk_ends(text)
                 own = [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)]
                 if text.isascii():
                     points = np.array([0, *cuts])
                 else:
                     points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])[[0, *cuts]]
-                first = list({d: j for j, d in reversed(list(enumerate(own)))}.values()) if once else range(len(own))
-                at += [k] * len(first)
-                digests += [own[j] for j in first]
-                starts.append(points[:-1][list(first)])
-                ends.append(points[1:][list(first)])
-            if not at:
-                continue
-            both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            take = pa.array(at, pa.int32())
+                both = np.frombuffer(b"".join(own), "<i8").reshape(-1, 2)
+                if repeated is None:
+                    first = np.fromiter({d: j for j, d in reversed(list(enumerate(own)))}.values(), np.int64)
+                else:
+                    bit = both[:, 0].view(np.uint64) & np.uint64(len(repeated.value) * 8 - 1)
+                    first = np.flatnonzero(repeated.value[(bit >> np.uint64(3)).astype(np.intp)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                at.append(np.full(len(first), k, np.int32))
+                found.append(both[first])
+                starts.append(points[:-1][first])
+                ends.append(points[1:][first])
+            both, take = np.concatenate(found), pa.array(np.concatenate(at))
             columns = [batch.column("doc_id").take(take), batch.column("digest").take(take), pa.array(both[:, 0]), pa.array(both[:, 1])]
             columns += [pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, ends)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("digest")).where("text <> ''")
-    return rows.mapInArrow(kernel, f"doc_id {kind}, digest bigint, d1 bigint, d2 bigint, start int, end int")
+    return rows.select("doc_id", "text", "digest").mapInArrow(kernel, f"doc_id {kind}, digest bigint, d1 bigint, d2 bigint, start int, end int")
+
+
+def digest_filter(shared: DataFrame) -> np.ndarray:
+    """A bit for each digest (s1) of ``shared``; it only spares rows that cannot meet, whatever its size."""
+    n = shared.count()
+    bits = min(MOST_FILTER, max(LEAST_FILTER, 1 << (16 * n).bit_length()))
+    place = F.col("s1").bitwiseAND(F.lit(bits - 1))
+    words = shared.groupBy(F.shiftright(place, 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(31)).cast("int"))).alias("bits"))
+    found, out = words.toPandas(), np.zeros(bits >> 5, "<u4")
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype("<u4")
+    return out.view(np.uint8)
 
 
 def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Repeated spans: doc_id, digest, start, end, n_chars, n_chunks, n_docs, first_doc_id, stays."""
+    rows = one_row_each(docs)
     place = F.struct("doc_id", "digest", "start")
-    counted = chunks(docs, True).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("rows"), F.min(place).alias("first"), F.max(F.struct("doc_id", "digest")).alias("last"))
-    # repeated rows of one document count once
-    shared = counted.where((F.col("rows") > 1) & ((~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id"))) | (F.col("first.digest") != F.col("last.digest"))))
-    shared = shared.select(F.col("d1").alias("s1"), F.col("d2").alias("s2"), F.col("rows").alias("n_docs"), "first")
-    hit = chunks(docs, False).join(shared, (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2")))
+    counted = chunks(rows).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n_docs"), F.min(place).alias("first"))
+    shared = checkpointed(counted.where("n_docs > 1").select(F.col("d1").alias("s1"), F.col("d2").alias("s2"), "n_docs", "first"))
+    repeated = docs.sparkSession.sparkContext.broadcast(digest_filter(shared))
+    hit = chunks(rows, repeated).join(shared, (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2")))
     stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.digest") == F.col("digest")) & (F.col("first.start") == F.col("start"))
     hit = hit.select("doc_id", "digest", "start", "end", "n_docs", F.col("first.doc_id").alias("first_doc_id"), stays.alias("stays"))
-    hit = hit.distinct()
     inside = Window.partitionBy("doc_id", "digest").orderBy("start")
     begins = F.coalesce((F.lag("end").over(inside) != F.col("start")) | (F.lag("stays").over(inside) != F.col("stays")), F.lit(True))
     runs = hit.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
@@ -112,19 +141,21 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return joined.select("doc_id", "digest", "start", "end", (F.col("end") - F.col("start")).alias("n_chars"), "n_chunks", "n_docs", "first_doc_id", "stays")
 
 
-def _without(text: Column, spans: Column) -> Column:
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast("struct<at:int,out:array<string>>")
-
-    def step(a: Column, x: Column) -> Column:
-        piece = F.substring(text, a["at"] + 1, x["start"] - a["at"])
-        return F.struct(x["end"].alias("at"), F.concat(a["out"], F.array(piece)).alias("out")).cast("struct<at:int,out:array<string>>")
-
-    done = F.aggregate(F.array_sort(spans), start, step)
-    return let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["at"] + 1, F.length(text))))
-
-
 def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``docs`` with the repeated spans that don't stay cut out of their texts."""
-    gone = repeats(docs, span).where(~F.col("stays")).groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    """``docs`` with the repeated spans that don't stay cut out of their texts; rows that repeat a document are cut alike."""
+    gone = repeats(docs, span).where(~F.col("stays")).groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_digest"]), "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_spans")))).drop("_id", "_digest", "_spans")
+    rows = joined.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("rest") if len(docs.columns) > 1 else F.lit(0).alias("rest"), joined["text"].cast("string").alias("text"), "_spans")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+                if spans:
+                    ends = [0, *(x["end"] for x in spans)]
+                    text = "".join(text[a:b] for a, b in zip(ends, [*(x["start"] for x in spans), len(text)], strict=True))
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(out, pa.string())], names=["rest", "text"])
+
+    cut = rows.mapInArrow(kernel, T.StructType([rows.schema["rest"], T.StructField("text", T.StringType())]))
+    return cut.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
