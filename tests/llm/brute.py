@@ -128,3 +128,53 @@ def class_counts(texts, bits):
                 for key in class_contexts(words, k, (label | 1 << bits) >> (bits - b)):
                     counts[key][label >> (bits - 1 - b) & 1] += 1
     return counts
+
+
+def op2(rows, ends_of, least):
+    """rows: (doc_id, digest, text); the repeated runs of chunks, by plain counting."""
+    order = lambda i: (i is not None, i or 0)
+    cut = {}
+    for i, d, t in rows:
+        if t:
+            data = t.encode()
+            ends = ends_of(data)
+            cut[i, d] = [(data[a:b], len(data[:a].decode()), len(data[:b].decode())) for a, b in zip([0, *ends], ends, strict=False)]
+    places = collections.defaultdict(list)
+    for (i, d), own in cut.items():
+        for c, a, _ in own:
+            places[c].append((order(i), d, a, i))
+    out = []
+    for (i, d), own in cut.items():
+        runs = []  # [start, end, n_docs, first, stays]
+        for c, a, b in own:
+            docs = {(x[0], x[1]) for x in places[c]}
+            if len(docs) < 2:
+                continue
+            first = min(places[c])
+            stays = (first[0], first[1], first[2]) == (order(i), d, a)
+            if runs and runs[-1][1] == a and runs[-1][4] == stays:
+                runs[-1][1], runs[-1][2] = b, max(runs[-1][2], len(docs))
+                runs[-1][3] = min((x for x in (runs[-1][3], first[3]) if x is not None), default=None)
+            else:
+                runs.append([a, b, len(docs), first[3], stays])
+        for r in runs:
+            a, b = r[0], r[1]
+            for x in reversed([x for x in runs if x[1] <= r[0]]):
+                a = x[0] if x[1] == a else a
+            for x in [x for x in runs if x[0] >= r[1]]:
+                b = x[1] if x[0] == b else b
+            if b - a >= least:
+                out.append((i, d, *r))
+    return out
+
+
+def path_score(scores, path, switch):
+    return sum(s[p] for s, p in zip(scores, path, strict=True)) - switch * sum(a != b for a, b in zip(path, path[1:], strict=False))
+
+
+def viterbi(scores, switch):
+    """The score of the best path."""
+    v = None
+    for s in scores:
+        v = list(s) if v is None else [max(max(v) - switch, u) + x for u, x in zip(v, s, strict=True)]
+    return max(v) if v else 0.0

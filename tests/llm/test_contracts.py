@@ -3,6 +3,7 @@
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,42 @@ def test_op2_finds_passages_and_resists_shifts(spark):
     assert cut[1] == texts[1] and len(cut[2]) < len(texts[2]) - 150 and cut[4] is None
 
 
+def test_op2_equals_brute_force(docs):
+    from pyspark.sql import functions as F
+
+    rows = [(r["doc_id"], r["digest"], r["text"]) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).collect()]
+    got = [tuple(r) for r in substring.repeats(docs).select("doc_id", "digest", "start", "end", "n_docs", "first_doc_id", "stays").collect()]
+    same(got, brute.op2(rows, substring.chunk_ends, substring.SPAN))
+
+
+def test_op2_counts_documents_not_rows(spark):
+    passage, other = " ".join(f"shared{k}" for k in range(60)), " ".join(f"other{k}" for k in range(60))
+    d = spark.createDataFrame([(1, passage)] * 3 + [(2, passage), (3, other), (3, other)], "doc_id long, text string")
+    assert {(r["doc_id"], r["n_docs"], r["stays"]) for r in substring.repeats(d).collect()} == {(1, 2, True), (2, 2, False)}
+    cut = [(r["doc_id"], r["text"]) for r in substring.without_repeats(d).collect()]
+    same(cut, [(1, passage)] * 3 + [(2, ""), (3, other), (3, other)])
+
+
+def test_op2_finds_passages_of_fifty_words(spark, sf):
+    import random
+
+    rng = random.Random(4)
+    words = [w for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(60).collect() for w in (r["text"] or "").split()]
+    draw = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passages = [draw(51) for _ in range(200)]
+    rows = [(2 * k + j, f"{draw(30 + k)} {p} {draw(40)}") for k, p in enumerate(passages) for j in (0, 1)]
+    found = {}
+    for r in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if not r["stays"]:
+            found[r["doc_id"]] = found.get(r["doc_id"], 0) + r["n_chars"]
+    assert len(found) >= 198 and sum(found.values()) > 0.75 * sum(map(len, passages))
+
+
+def test_op2_keeps_clashing_columns_and_cuts_linearly(odd):
+    cut = substring.without_repeats(odd)
+    assert cut.columns == odd.columns and cut.count() == odd.count()
+
+
 def test_op2_chunks_cover_texts():
     for text in ["", "a", "äöü🎉" * 500, "ab" * 5000, "one two three four " * 300]:
         data = text.encode()
@@ -87,6 +124,30 @@ def test_op3_held_out_accuracy_and_mixed_spans(spark, sf):
     assert {s["lang"] for s in spans} >= {"fr", "de"}
 
 
+def test_op3_lower_cases_character_by_character(spark):
+    assert langid.lowered("İAB Ç") == "İab ç" and langid.lowered("ABÇ") == "abç"
+    train = spark.createDataFrame([(1, "the river and the bank", "en"), (2, "der fluss und das ufer", "de")], "doc_id long, text string, lang string")
+    model = langid.fit(train)
+    texts = ["THE RIVER AND THE BANK", "İ THE RIVER AND THE BANK", "DER FLUSS UND DAS UFER", "İ DER FLUSS UND DAS UFER"]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
+    assert [r["lang_pred"] for r in got.orderBy("doc_id").collect()] == ["en", "en", "de", "de"]
+
+
+def test_op3_path_equals_plain_viterbi(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r["text"][:600] for r in docs.where("text is not null").orderBy("doc_id").limit(40).collect()]
+    texts += [a[:150] + " " + b[:150] for a, b in zip(texts, texts[1:], strict=False)]
+    w = langid.Words(texts)
+    got = model.label(w, langid.SWITCH)
+    scores = [[sum(float(model.logs[s, l]) for s in w.slot[a : a + n]) + float(model.barred[c, l]) for l in range(len(model.langs))] for a, n, c in zip(w.start, w.letters, w.script, strict=True)]
+    for t in range(len(texts)):
+        own = [k for k in range(len(w.start)) if w.text[k] == t]
+        best = brute.viterbi([scores[k] for k in own], langid.SWITCH)
+        path = [int(got[k]) for k in own]
+        assert brute.path_score([scores[k] for k in own], path, langid.SWITCH) == pytest.approx(best, rel=1e-5)
+
+
 def test_op4(docs):
     got = {(r["doc_id"], r["digest"]): r for r in pii.personal_data(docs).collect()}
     for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")).collect():
@@ -134,6 +195,23 @@ def test_op6_removes_frequent_lines_but_not_copies(spark):
     assert all(not got[100 + k]["kept"] and not got[100 + k]["base_failed"] and got[100 + k]["left_words"] == 1 for k in range(5))
 
 
+def test_op6_equals_sql_where_lines_are_removed(spark):
+    import duckdb
+
+    from catchwork.llm.queries import OP6_SQL
+
+    letters = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(3))
+    notice = " ".join(f"notice{letters(j)}" for j in range(60))
+    rows = [(k, f"{notice}\ntail{letters(k)} {k}\n" + " ".join(f"own{letters(k * j)}" for j in range(k)), "h" if k % 7 else None) for k in range(120)] * 2 + [(900, None, "h"), (901, "", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality.quality(d).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    db.executemany("insert into documents values (?, ?, ?)", rows)
+    same([tuple(r) for r in got], db.execute(OP6_SQL).fetchall())
+    assert sum(not r["kept"] and not r["base_failed"] for r in got) > 20
+
+
 def test_op6_counts_documents_that_share_their_longest_line(spark):
     letters = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(3))
     notice = " ".join(f"notice{letters(j)}" for j in range(60))  # longer than every own line
@@ -173,7 +251,7 @@ def test_op7_trains_on_all_texts_and_slots_grow(spark):
     want = lm.Mixer(*tables, training=True)
     rows = d.select("text", F.xxhash64("text", F.lit(1)).alias("at")).orderBy("at").collect()
     bits = 0
-    for _, slots, value in reader.value.bits([r["text"].encode() for r in rows]):
+    for _, slots, value in reader.value.bits(pa.array([r["text"] for r in rows])):
         want.train(slots, value)
         bits += len(value)
     assert bits == lm.CLASS_BITS * 4 * 60
@@ -201,18 +279,15 @@ def test_op7_tables_and_mix_equal_brute_force(spark):
                 keys = brute.class_contexts(words, k, node)
                 logits = [round(math.log((counts[c][1] + 0.4) / (counts[c][0] + 0.4)) * 600) / 600 for c in keys]
                 mixed = 0.8 * logits[0] + 0.1 * logits[1] + 0.1 * logits[2]
-                place = (min(max(mixed, -8), 8) + 8) * 3
-                low = min(int(place), 47)
-                p = [1 / (1 + math.exp(8 - (low + j) / 3)) for j in (0, 1)]
-                one = p[0] + (p[1] - p[0]) * (place - low)
+                one = 1 / (1 + math.exp(-round((min(max(mixed, -8), 8) + 8) * 8) / 8 + 8))
                 want += math.log10(one if value else 1 - one)
-        assert mixer.scores(reader.value.bits([t]), 1)[0] == pytest.approx(want, abs=1e-3)
+        assert mixer.scores(reader.value.bits(pa.array([t.decode()])), 1)[0] == pytest.approx(want, abs=1e-3)
 
 
 def test_op7_bit_probabilities_add_up(spark, sf):
     reader = lm.Spelling(lm.np.arange(256), lm.SLOTS)
     mixer = lm.Mixer([lm.np.zeros(w, "f4") for w in reader.widths], [lm.np.full(w, 9, "f4") for w in reader.widths])
-    for _, slots, value in reader.bits([b"one", b"\xff\x00two", b""]):
+    for _, slots, value in reader.bits(pa.array([b"one", b"\xff\x00two", b""])):
         assert abs(10 ** mixer.log10(slots, value) + 10 ** mixer.log10(slots, 1 - value) - 1).max() < 1e-5
     begin, nodes, bits = lm.huffman([5, 1, 1, 9, 2])
     codes = ["".join(map(str, bits[a:b][::-1])) for a, b in zip(begin, begin[1:], strict=False)]
@@ -317,6 +392,14 @@ def test_stages_keep_columns_and_decide(odd, nothing, bench):
     assert {r["doc_id"] for r in stages.uncontaminated(odd, bench).collect()} == {2, 3, 4, 5, 6, 7, 8, 9, None}
 
 
+def test_one_of_each_group_keeps_components_with_an_id_in_common(spark):
+    one, two, three = (" ".join(f"{w}{k}" for k in range(40)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, one, "x"), (1, two, "y"), (2, three, "z"), (3, one, "w"), (2, three, "a"), (2, three, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for n in (1, 5):
+        same([tuple(r) for r in stages.one_of_each_group(d.repartition(n)).collect()], [(1, one, "x"), (1, two, "y"), (2, three, None)])
+
+
 def test_redaction(spark):
     d = spark.createDataFrame([(1, "mail é x@y.org or 1.2.3.4 now"), (2, None), (3, "nothing")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in stages.without_personal_data(d).collect()} == {1: "mail é [email] or [ip] now", 2: None, 3: "nothing"}
