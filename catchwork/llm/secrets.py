@@ -3,12 +3,14 @@
 Base rules find assignments to secret names, access keys and long hexadecimal runs. Their values are the labelled
 credentials: for each kind a prefix tree over character classes is built from a bounded sample, and
 states whose continuations are statistically compatible (Hoeffding bound) are merged, red-blue order, into a
-probabilistic automaton. Every other token-like run of a text is a candidate; its format likelihood is the mean
-log probability of its symbols in an automaton, and it is a secret where some automaton finds it as likely as all but
-the least likely ``DOUBT`` of its labelled values. Base spans always stay.
+probabilistic automaton. Every other run of the value's characters, as long as the shortest value that the rules label
+(``SHORTEST``) or longer, is a candidate; its format likelihood is the mean log probability of its symbols in an
+automaton. It is a secret where some automaton finds it as likely as all but the least likely ``DOUBT`` of its labelled
+values, and likelier than the chain of neighbouring classes over all runs of all texts, which is what plain words and numbers follow.
+Base spans always stay.
 
-The fit sample has at most ``FIT_VALUES`` distinct values a kind, the smallest by hash, of at most ``FIT_CHARS``
-characters; candidates and base spans cover all texts whole.
+The texts are read twice: for the labelled values and the chain, then for the spans. The fit sample has at most ``FIT_VALUES``
+distinct values a kind, the smallest by hash, up to ``FIT_CHARS`` characters in all; candidates and base spans cover all texts whole.
 
 Cases: null text is empty. Empty tables and corpora without labelled values have base spans only. Repeated rows give
 repeated result rows. Other columns are ignored.
@@ -18,9 +20,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +34,10 @@ KINDS = ["assign", "access", "hex", "format"]
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
-#: Shortest candidate; it also holds a letter and a digit.
-SHORTEST = 16
+SHORTEST = 8
+RUN = re.compile(rb"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 FIT_VALUES = 500
-FIT_CHARS = 512
+FIT_CHARS = 100_000
 ALPHA = 0.05
 DOUBT = 0.02
 _NAMES = (b"passw", b"secret", b"token", b"apikey", b"api_key")
@@ -47,7 +48,12 @@ def _runs(chars: str) -> bytes:
 
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_HEX_RUN, _TOKEN_RUN = _runs(_DIGITS + "abcdef"), _runs(_DIGITS + _UPPER + _LOWER + "+/_=-")
+_HEX_RUN = _runs(_DIGITS + "abcdef")
+#: Character classes: digit, hexadecimal letter, other letter, by case; punctuation stands for itself, the blank for all else.
+CLASSES = " 0agAG+/_.=-"
+_SYMBOLS = "".join("0" if c in _DIGITS else "a" if c in "abcdef" else "g" if c in _LOWER else "A" if c in "ABCDEF" else "G" if c in _UPPER else c if c in CLASSES else " " for c in map(chr, range(256))).encode("latin-1")
+_PLACES = bytes(CLASSES.index(chr(c)) for c in _SYMBOLS)
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[str, str]]]:
@@ -65,43 +71,67 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[str, s
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))), values
 
 
-def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, value) of token-like runs with a letter and a digit that no base span overlaps."""
-    out = []
+def candidates(text: bytes, taken: list[tuple[int, int]]) -> list[tuple[int, int, bytes]]:
+    """(start, end, value) in bytes of the runs that none of the sorted spans overlaps."""
+    out, k, reach = [], 0, -1
     for m in RUN.finditer(text):
-        if m.end() - m.start() >= SHORTEST and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and not any(s < m.end() and m.start() < e for s, e, _ in taken):
+        while k < len(taken) and taken[k][0] < m.end():
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= m.start():
             out.append((*m.span(), m[0]))
     return out
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, values, candidates) of every text, read once."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-    value = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
-    other = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
+def _named(text: bytes) -> bool:
+    """Whether the text may hold a base match."""
+    low = text.lower()
+    return b"AKIA" in text or any(n in low for n in _NAMES) or b"x" * 32 in text.translate(_HEX_RUN)
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
-            base, values, rest = [], [], []
-            for t in utf8(batch.column("text")):
-                low = t.lower()
-                named = b"AKIA" in t or any(n in low for n in _NAMES) or b"x" * 32 in t.translate(_HEX_RUN)
-                long = b"x" * SHORTEST in t.translate(_TOKEN_RUN)
-                text = t.decode() if named or long else ""
-                found, labelled = base_spans(text) if named else ([], [])
-                base.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
-                values.append([{"kind": k, "value": v} for k, v in labelled])
-                rest.append([{"start": s, "end": e, "value": v} for s, e, v in candidates(text, found)] if long else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, span), pa.array(values, value), pa.array(rest, other)], names=["doc_id", "base", "values", "candidates"])
 
-    schema = f"doc_id {kind}, base array<struct<start:bigint,end:bigint,kind:string>>, values array<struct<kind:string,value:string>>, candidates array<struct<start:bigint,end:bigint,value:string>>"
-    return docs.selectExpr("doc_id", "cast(text as string) text").mapInArrow(kernel, schema)
+def symbols(value: bytes) -> str:
+    return value.translate(_SYMBOLS).decode("latin-1")
+
+
+class Chain:
+    """Log probabilities of neighbouring character classes over all runs; a run is between blanks."""
+
+    def __init__(self, counts: np.ndarray):
+        counts = counts.reshape(len(CLASSES), len(CLASSES)).astype(float)
+        counts[0, 0] = 0  # between two runs
+        self.logs = np.log((counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True))
+        self.logs[0, 0] = 0.0
+
+    def score(self, value: bytes) -> float:
+        """Mean log probability a symbol, the end included."""
+        x = np.frombuffer(b" " + value + b" ", np.uint8)
+        x = np.frombuffer(_PLACES, np.uint8)[x]
+        return float(self.logs[x[:-1], x[1:]].sum() / (len(value) + 1))
+
 
+def scan(docs: DataFrame) -> tuple[DataFrame, Chain]:
+    """The distinct labelled (kind, value) of all texts, and the chain of classes over all their runs; the texts are read once."""
 
-def symbols(value: str) -> str:
-    """Character classes: digit, hexadecimal letter, other letter, by case; punctuation stands for itself."""
-    return "".join("0" if c.isdigit() else ("a" if c in "abcdef" else "g" if c.islower() else "A" if c in "ABCDEF" else "G") if c.isalpha() else c for c in value)
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(len(CLASSES) ** 2, np.int64)
+        for batch in steps(batches, "text"):
+            values: set[tuple[str, str]] = set()
+            for t in utf8(batch.column("text")):
+                x = np.frombuffer((b" " + t + b" ").translate(_PLACES), np.uint8).astype(np.int16)
+                pairs += np.bincount(x[:-1] * len(CLASSES) + x[1:], minlength=len(pairs))
+                if _named(t):
+                    values.update(base_spans(t.decode())[1])
+            if values:
+                kinds, found = zip(*values, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(found), pa.array([0] * len(kinds))], names=["kind", "value", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([""] * len(pairs)), pa.array([str(k) for k in range(len(pairs))]), pa.array(pairs)], names=["kind", "value", "n"])
+
+    rows = docs.selectExpr("cast(text as string) text").mapInArrow(kernel, "kind string, value string, n bigint")
+    held = checkpointed(rows.groupBy("kind", "value").agg(F.sum("n").alias("n")))
+    counts = np.zeros(len(CLASSES) ** 2, np.int64)
+    for r in held.where("kind = ''").collect():
+        counts[int(r["value"])] = r["n"]
+    return held.where("kind <> ''").select("kind", "value"), Chain(counts)
 
 
 class Automaton:
@@ -113,9 +143,9 @@ class Automaton:
         self.count: list[dict[str, int]] = [{}]
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         for v in values:
-            self._add(symbols(v))
+            self._add(symbols(v.encode()))
         self._merge_all()
-        scores = sorted(self.score(v) for v in values)
+        scores = sorted(self.score(v.encode()) for v in values)
         self.least = scores[int(DOUBT * len(scores))] if scores else math.inf
 
     def _add(self, word: str) -> None:
@@ -137,7 +167,7 @@ class Automaton:
         return n > 0 and m > 0 and abs(a / n - b / m) > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
     def _compatible(self, q: int, r: int) -> bool:
-        todo = [(q, r)]
+        todo, seen = [(q, r)], {(q, r)}
         while todo:
             a, b = todo.pop()
             n, m = self._visits(a), self._visits(b)
@@ -146,9 +176,9 @@ class Automaton:
             for c in self.count[a].keys() | self.count[b].keys():
                 if self._differ(self.count[a].get(c, 0), n, self.count[b].get(c, 0), m):
                     return False
-            todo += [(self.next[a][c], self.next[b][c]) for c in self.next[b] if c in self.next[a] and self.next[b][c] != self.next[a][c]]
-            if len(todo) > 100_000:
-                return False
+            more = {(self.next[a][c], self.next[b][c]) for c in self.next[b] if c in self.next[a] and self.next[b][c] != self.next[a][c]} - seen
+            todo += more
+            seen |= more
         return True
 
     def _fold(self, q: int, r: int) -> None:
@@ -180,8 +210,8 @@ class Automaton:
             parents = {r: (q, c) for q in red for c, r in self.next[q].items() if r not in known}
         self.states = len(red)
 
-    def score(self, value: str) -> float:
-        """Mean log probability a symbol, the end included; a step that the automaton lacks is very unlikely."""
+    def score(self, value: bytes) -> float:
+        """Mean log probability a symbol, the end included; a step that the automaton lacks is impossible."""
         q, total, word = 0, 0.0, symbols(value)
         for c in word:
             n = self._visits(q)
@@ -193,35 +223,53 @@ class Automaton:
         return total / (len(word) + 1)
 
 
-def fit(found: DataFrame) -> dict[str, Automaton]:
-    """An automaton for each kind with labelled values."""
-    values = checkpointed(found.select(F.explode("values").alias("v")).select("v.kind", "v.value").where(F.length("value") <= FIT_CHARS).distinct())
+def fit(values: DataFrame) -> dict[str, Automaton]:
+    """An automaton for each kind of the distinct labelled (kind, value)."""
     out = {}
     for kind in KINDS[:3]:
         own, hashed = values.where(F.col("kind") == kind), F.xxhash64("value")
         # only about as many of the smallest hashes as are wanted are sorted, whatever the number of tasks
         share = min(1.0, 4 * FIT_VALUES / max(1, own.count()))
-        rows = own.where(hashed <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))).orderBy(hashed, "value").limit(FIT_VALUES).collect()
-        if rows:
-            out[kind] = Automaton([r["value"] for r in rows])
+        some = own.where(hashed <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))).select("value", hashed.alias("h"), F.length("value").alias("size"))
+        # a value longer than the whole sample may be never gets to the driver
+        rows = some.where(F.col("size") <= FIT_CHARS).orderBy("h", "value").limit(FIT_VALUES).collect()
+        taken, size = [], 0
+        for r in rows:
+            size += r["size"]
+            if size <= FIT_CHARS:
+                taken.append(r["value"])
+        if taken:
+            out[kind] = Automaton(taken)
     return out
 
 
 def secrets(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, found (array of start, end, kind)."""
-    held = checkpointed(scan(docs))
-    automata = docs.sparkSession.sparkContext.broadcast(fit(held))
+    values, chain = scan(docs)
+    models = docs.sparkSession.sparkContext.broadcast((list(fit(values).values()), chain))
 
-    def likely(values: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = list(automata.value.values())
-        for batch in values:
-            more = [[{"start": c["start"], "end": c["end"], "kind": "format"} for c in cs if any(m.score(c["value"]) >= m.least for m in models)] for cs in batch.column("candidates").to_pylist()]
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("base"), pa.array(more, span)], names=["doc_id", "base", "more"])
+    def likely(value: bytes) -> bool:
+        automata, plain = models.value
+        scores = [x for m in automata if (x := m.score(value)) >= m.least]
+        return bool(scores) and max(scores) > plain.score(value)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            base, more = [], []
+            for t in utf8(batch.column("text")):
+                found = base_spans(t.decode())[0] if _named(t) else []
+                # spans in characters from here on in bytes, and back, where the text is not ASCII
+                at = None if t.isascii() else np.concatenate([[0], np.cumsum((np.frombuffer(t, np.uint8) & 0xC0) != 0x80)])
+                begin = None if at is None else np.searchsorted(at, np.arange(at[-1] + 1) + 1) - 1
+                taken = [(s, e) if begin is None else (int(begin[s]), int(begin[e])) for s, e, _ in found]
+                hits = [(s, e) for s, e, v in candidates(t, taken) if likely(v)] if models.value[0] else []
+                base.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
+                more.append([{"start": s if at is None else int(at[s]), "end": e if at is None else int(at[e]), "kind": "format"} for s, e in hits])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, _SPAN), pa.array(more, _SPAN)], names=["doc_id", "base", "more"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = "array<struct<start:bigint,end:bigint,kind:string>>"
-    scored = held.select("doc_id", "base", "candidates").mapInArrow(likely, f"doc_id {kind}, base {span}, more {span}")
+    scored = docs.selectExpr("doc_id", "cast(text as string) text").mapInArrow(kernel, f"doc_id {kind}, base {span}, more {span}")
     rank = F.array(*[F.lit(k) for k in KINDS])
 
     def text(column: str) -> Column:
