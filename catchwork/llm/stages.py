@@ -53,8 +53,9 @@ def without_personal_data(docs: DataFrame) -> DataFrame:
     Null texts stay null, empty ones empty; rows that repeat one are treated alike; texts of any length are processed whole. n_chars
     of other texts stays as it is. Other columns are kept, whatever their names.
     """
-    found = pii.personal_data(docs).where(F.size("found") > 0)
-    found = checkpointed(found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("found").alias("_found")).dropDuplicates(["_id", "_digest"]))
+    found = pii.personal_data(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.explode("found").alias("s"))
+    spans = pii.merged(found.select("_id", "_digest", "s.start", "s.end", "s.kind").distinct())
+    found = checkpointed(spans.groupBy("_id", "_digest").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_found")))
     found = broadcast_if_small(found, found.count(), BROADCAST_ROWS)
     same = docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"].cast("string")) == found["_digest"])
     out = docs.join(found, same, "left").withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(pii.redacted(F.col("text"), F.col("_found"))))
