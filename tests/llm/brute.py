@@ -178,3 +178,89 @@ def viterbi(scores, switch):
     for s in scores:
         v = list(s) if v is None else [max(max(v) - switch, u) + x for u, x in zip(v, s, strict=True)]
     return max(v) if v else 0.0
+
+
+class PrefixTree:
+    """Unmerged counts: how often each prefix is passed, and each word ends."""
+
+    def __init__(self, words):
+        self.visits = collections.Counter(w[:k] for w in words for k in range(len(w) + 1))
+        self.ends = collections.Counter(words)
+
+    def score(self, word):
+        steps = [math.log((self.visits[word[: k + 1]] + 0.5) / (self.visits[word[:k]] + 1)) for k in range(len(word))]
+        return (sum(steps) + math.log((self.ends[word] + 0.5) / (self.visits[word] + 1))) / (len(word) + 1)
+
+
+def op5(text, templates, least):
+    """(units, names, best coefficient): every line, paragraph and anchored window against every template."""
+    plain = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).split()
+    grams = lambda w: collections.Counter(zip(w, w[1:], strict=False))
+    sized = [(n, v, plain(t)) for n, v, t in templates]
+
+    def dice(w, t):
+        a, b = grams(w), grams(t)
+        return 2 * sum((a & b).values()) / (len(w) + len(t) - 2)
+
+    def matches(w, own):
+        found = {}
+        for n, v, t in own:
+            d = dice(w, t)
+            have = {" ".join(w[k : k + 2]) for k in range(len(w) - 1)}
+            if d >= least and all(x in have for x in v.split(",") if x):
+                found[n.split("-")[0]] = min(found.get(n.split("-")[0], (0, "")), (-d, n))
+        return [(n, -d) for d, n in found.values()]
+
+    text = text or ""
+    units = [plain(x) for x in text.split("\n")] + [plain(p) for p in re.split(r"\n[\x20\t\r]*\n", text) if "\n" in p]
+    units = [w for w in units if len(w) > 1]
+    hits = [m for w in units for m in matches(w, sized)]
+    every = plain(text)
+    for n, v, t in sized:
+        for k in range(len(every) - 1):
+            if every[k : k + 2] == t[:2] and len(every) - k >= len(t) * least / (2 - least):
+                hits += [m for m in matches(every[k : k + len(t)], [(n, v, t)]) if m[0] == n]
+    return len(units), ",".join(sorted({n for n, _ in hits})), round(max([d for _, d in hits], default=0.0), 9)
+
+
+def op4_ids(texts, rounds, support, confident, shortest):
+    """By text the (start, end) of tokens that plain bootstrapping adds to the base spans."""
+    low_words = lambda t: [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(t or "")]
+    rows = []  # (text, start, end, instance, seed, patterns)
+    for n, t in enumerate(texts):
+        w = low_words(t)
+
+        def around(first, after, w=w):
+            left, two, right = (w[first - 1][2] if first else None), (w[first - 2][2] + " " + w[first - 1][2] if first > 1 else None), (w[after][2] if after < len(w) else None)
+            return [(k, c) for k, c in (("l", left), ("b", two), ("r", right)) if c is not None]
+
+        for k, (a, b, x) in enumerate(w):
+            if re.search("[0-9]", x):
+                rows.append((n, a, b, x, bool(op4(t[a:b])), around(k, k + 1)))
+        for _, a, b in op4(t):
+            if re.search(r"[\x20\x09-\x0D]", t[a:b]) or not re.search("[0-9]", t[a:b]):
+                rows.append((n, a, b, t[a:b].lower(), True, around(sum(x[1] <= a for x in w), sum(x[0] < b for x in w))))
+    seen, seeds = collections.Counter(), {}
+    for *_, x, seed, patterns in rows:
+        for p in patterns:
+            seen[p, x] += 1
+            seeds[p, x] = seeds.get((p, x), False) or seed
+    score = {e: float(s) for e, s in seeds.items()}
+    for _ in range(rounds):
+        total, right, kinds = collections.Counter(), collections.Counter(), collections.Counter()
+        for (p, x), n in seen.items():
+            total[p] += n
+            right[p] += n * score[p, x]
+            kinds[p] += 1
+        sure = {p: right[p] / (total[p] + 1) for p in total if kinds[p] >= support}
+        best = collections.defaultdict(float)
+        for p, x in seen:
+            if not seeds[p, x] and p in sure:
+                best[x] = max(best[x], sure[p])
+        score = {e: 1.0 if s else best[e[1]] for e, s in seeds.items()}
+    good = {p for p, c in sure.items() if c >= confident}
+    out = [set() for _ in texts]
+    for n, a, b, _, seed, patterns in rows:
+        if not seed and b - a >= shortest and good & set(patterns) and not any(s < b and a < e for _, s, e in op4(texts[n])):
+            out[n].add((a, b))
+    return out

@@ -171,13 +171,86 @@ def test_op4_learns_contexts(spark):
     assert got[100] == ["id"] and got[101] == [] and all(got[k] == ["ip"] for k in range(40))
 
 
+def test_op4_equals_plain_bootstrapping(spark):
+    import random
+
+    rng = random.Random(11)
+    word = lambda: rng.choice(["alpha", "beta", "Gamma", "delta", "the", "of"])
+    code = lambda: "".join(rng.choice("ABCDEF0123456789") for _ in range(8)) + "7"
+    ip = lambda: ".".join(str(rng.randrange(256)) for _ in range(4))
+    card = "4532 0151 1283 0366"
+    texts = []
+    for k in range(150):
+        lead = rng.choice(["host address", "client number", "x" * 60 + " ref", word()])
+        hit = rng.choice([ip(), ip(), code(), f"u{k}@ex.org", card, "+1 (559) 555-3817"])
+        texts.append(" ".join([word() for _ in range(rng.randrange(4))] + [lead, hit] + [word() for _ in range(rng.randrange(3))]) + rng.choice(["", f"  {lead}" + " " * 70 + code()]))
+    texts += ["passport \t" + " " * 60 + ip() for _ in range(20)] + ["passport" + " " * 60 + "AB-9971234", "room AB-9971234", None, ""]
+    for settings in ((3, 5, 0.9), (2, 3, 0.4)):
+        want = brute.op4_ids(texts, *settings, pii.SHORTEST)
+        got = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), *settings).collect()
+        assert {r["doc_id"]: {(x["start"], x["end"]) for x in r["found"] if x["kind"] == "id"} for r in got} == dict(enumerate(want))
+        assert want[170] and sum(map(len, want)) > 1
+
+
+def test_op4_redacts_like_plain_cutting(spark):
+    import random
+
+    rng = random.Random(2)
+    text = "".join(rng.choice("aé🎉 b") for _ in range(5000))
+    cuts = sorted(rng.sample(range(5000), 60))
+    spans = [(a, b, rng.choice(["ip", "id"])) for a, b in zip(cuts[::2], cuts[1::2], strict=True)] + [(cuts[0], cuts[1] + 3, "card"), (cuts[5], cuts[6] + 1, "email")]
+    d = spark.createDataFrame([(1, a, b, k) for a, b, k in spans], "id long, start long, end long, kind string")
+    found = sorted((r["start"], r["end"], r["kind"]) for r in pii.merged(d).collect())
+    want = []
+    for a, b, k in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
+        if want and a < want[-1][1]:
+            want[-1] = (want[-1][0], max(b, want[-1][1]), want[-1][2])
+        else:
+            want.append((a, b, k))
+    assert found == want
+    cut, at = "", 0
+    for a, b, k in want:
+        cut, at = cut + text[at:a] + f"[{k}]", b
+    one = spark.createDataFrame([(text, found)], "text string, spans array<struct<start:bigint,end:bigint,kind:string>>")
+    assert one.select(pii.redacted(F.col("text"), F.col("spans")).alias("t")).first()["t"] == cut + text[at:]
+
+
 def test_op5(spark, odd, nothing):
-    rows = [(1, "a b\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "released under the MIT license"), (3, "The licence of this house is none of your business."), (4, None), (5, "All rights reserved. All rights reserved by whoever else may come along here")]
-    got = {r["doc_id"]: (r["licenses"], r["n_matches"]) for r in license.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: ("Apache-2.0", 1), 2: ("MIT", 1), 3: ("", 0), 4: ("", 0), 5: ("", 0)}
+    mit = dict((n, t) for n, _, t in license.TEMPLATES if len(t) > 300)["MIT"]
+    wrapped = "\r\n".join(" ".join(mit.split()[k : k + 11]) for k in range(0, len(mit.split()), 11))
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    prose = " ".join(f"word{k % 37}" for k in range(120))
+    rows = {
+        1: ("a b\nLicensed under the Apache License, Version 2.0.\nmore", "Apache-2.0"),
+        2: ("released under the MIT license", "MIT"),
+        3: ("The licence of this house is none of your business.", ""),
+        4: (None, ""),
+        5: ("", ""),
+        6: (mit, "MIT"),
+        7: ("MIT License\r\n\r\n" + wrapped, "MIT"),
+        8: (wrapped, "MIT"),
+        9: (gpl.format(2), "GPL-2.0"),
+        10: (gpl.format(3), "GPL-3.0"),
+        11: ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        12: ("This work is licensed under the GNU General Public License.", ""),
+        13: (f"{prose} This work is licensed under the GNU General Public License, version 2. {prose}", "GPL-2.0"),
+        14: (f"{prose} {mit} {prose}", "MIT"),
+        15: ("Copyright 2024 Example Inc. All rights reserved.", "all-rights-reserved"),
+        16: ("Our small parser library is released under the MIT License.", "MIT"),
+        17: ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        18: (prose * 30, ""),
+    }
+    got = {r["doc_id"]: r["licenses"] for r in license.licenses(spark.createDataFrame([(k, t) for k, (t, _) in rows.items()], "doc_id long, text string")).collect()}
+    assert got == {k: want for k, (_, want) in rows.items()}
     assert license.licenses(odd).count() == odd.count() and license.licenses(nothing).count() == 0
 
 
+def test_op5_equals_brute_force(docs):
+    rows = plain(docs)
+    got = [(r["doc_id"], r["n_units"], r["licenses"], round(r["best"], 9)) for r in license.licenses(docs).collect()]
+    same(got, [(i, *brute.op5(t, license.TEMPLATES, license.LEAST)) for i, t in rows])
+
+
 def test_op6(docs):
     got = quality.quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
     same([tuple(r) for r in got], [(i, *brute.op6(t)) for i, t in plain(docs)])
@@ -371,9 +444,49 @@ def test_op10_infers_formats(spark):
 
     rng = random.Random(3)
     value = lambda: "ghp_" + "".join(rng.choice("0123456789abcdefgh") for _ in range(24))
+    plain = " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(2, 14))) for _ in range(400))
     rows = [(k, f'token = "{value()}"') for k in range(300)] + [(900, f"see {value()} there"), (901, "see AVERYLONGWORD123/withslashes_and=more there")]
+    rows += [(902, plain), (903, "the number 4692819832630923 and the year 20240101"), (904, f"é{value()} ü {value()}")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[900] == "format:4:32" and got[901] == got[902] == got[903] == "" and got[0].startswith("assign:0:")
+    assert got[904] == "format:1:29,format:32:60"
+
+
+def test_op10_scores_short_dotted_and_very_long_values(spark):
+    import random
+
+    rng = random.Random(9)
+    value = lambda n: ".".join("".join(rng.choice("0123456789XYZ") for _ in range(n)) for _ in range(3))
+    plain = " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(9)) for _ in range(300))
+    rows = [(k, f"secret: {value(3)}") for k in range(200)] + [(300, f"x {value(3)} y"), (301, plain), (302, "token=" + "7X" * 40_000)]
     got = {r["doc_id"]: r["spans"] for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[900] == "format:4:32" and got[901] == "" and got[0].startswith("assign:0:")
+    assert got[300] == "format:2:13" and got[301] == "" and got[302] == "assign:0:80006"
+
+
+def test_op10_candidates_are_runs_apart_from_base_spans():
+    import random
+    import re
+
+    rng = random.Random(5)
+    for _ in range(200):
+        text = "".join(rng.choice("ab1.=- ,") for _ in range(120))
+        cuts = sorted(rng.sample(range(120), 6))
+        taken = list(zip(cuts[::2], cuts[1::2], strict=True))
+        want = [(*m.span(), m[0].encode()) for m in re.finditer(r"[A-Za-z0-9+/_.=-]{8,}", text) if not any(s < m.end() and m.start() < e for s, e in taken)]
+        assert secrets.candidates(text.encode(), taken) == want
+
+
+def test_op10_automata_are_distributions_that_accept_their_values():
+    import math
+    import random
+
+    rng = random.Random(7)
+    values = ["".join("ab" for _ in range(rng.randrange(1, 8))) + "-" + "".join(rng.choice("0123456789") for _ in range(4)) for _ in range(300)]
+    tree, m = brute.PrefixTree([secrets.symbols(v.encode()) for v in values]), secrets.Automaton(values)
+    for q in range(len(m.next)):
+        assert m.next[q].keys() == m.count[q].keys()
+    assert 2 * m.states < len(tree.visits) and m._visits(0) >= len(values)
+    assert all(m.score(v.encode()) > -math.inf for v in values) and m.score(b"ab9-1234") == -math.inf
 
 
 @pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op7", "op8", "op9", "op10"])
