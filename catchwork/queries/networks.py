@@ -46,13 +46,6 @@ def j7_downstream_loads(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", "level", r4("inflow", 6).alias("inflow"), r4("ratio", 6).alias("ratio"), "alive", r4("outflow", 6).alias("outflow"))
 
 
-@query(f"select id, arg_max(basin, len * 1000000 - basin) basin, round(max(len), 4) length from (select id, (id * k) % 50 basin, sum(length / k) len from {RIVERS}, generate_series(1, 3) t(k) group by 1, 2) group by 1")
-def n1_longest_overlap(spark: SparkSession, d: str) -> DataFrame:
-    p = rivers(spark, d).withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    pieces = p.groupBy("id", ((F.col("id") * F.col("k")) % 50).alias("basin")).agg(F.sum(F.col("length") / F.col("k")).alias("length"))
-    return network.longest_overlap(pieces).select("id", "basin", r4("length").alias("length"))
-
-
 @query(f"select s.pid, r.id, round(r.q, 4) q from {SITES} s left join {RIVERS} r on s.pid = r.id")
 def d15_river_attributes(spark: SparkSession, d: str) -> DataFrame:
     return sites(spark, d).join(rivers(spark, d), F.col("pid") == F.col("id"), "left").select("pid", "id", r4("q").alias("q"))
