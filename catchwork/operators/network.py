@@ -17,13 +17,15 @@ def levels(edges: DataFrame) -> DataFrame:
     edges has id and next_down (0 or null: outlet). A node that never reaches an outlet (cycle) has null level.
     """
     state = checkpointed(edges.select("id", F.coalesce("next_down", F.lit(0)).alias("jump"), F.lit(1).cast("long").alias("d"), F.col("id").alias("last")))
-    size = state.count()
+    size, known, moving = state.count(), state, state.where("jump <> 0")
+    done = state.where("jump = 0")
     rounds = max(1, int(np.ceil(np.log2(size + 1)))) if size else 0
     for _ in range(rounds):
-        if state.where("jump <> 0").isEmpty():
+        if moving.isEmpty():
             break
-        other = state.select(F.col("id").alias("_id"), F.col("jump").alias("_jump"), F.col("d").alias("_d"), F.col("last").alias("_last"))
-        moved = state.join(other, F.col("jump") == F.col("_id"), "left")
+        # finished nodes stay aside: only those still on their way are joined, by keys that are all different on the other side
+        other = known.select(F.col("id").alias("_id"), F.col("jump").alias("_jump"), F.col("d").alias("_d"), F.col("last").alias("_last"))
+        moved = moving.join(other, F.col("jump") == F.col("_id"), "left")
         state = checkpointed(
             moved.select(
                 "id",
@@ -32,21 +34,29 @@ def levels(edges: DataFrame) -> DataFrame:
                 F.coalesce("_last", "last").alias("last"),
             )
         )
-    done = F.col("jump") == 0
-    return state.select("id", F.when(done, F.col("d") - 1).alias("level"), F.when(done, F.col("last")).alias("outlet"))
+        done, moving = done.unionByName(state.where("jump = 0")), state.where("jump <> 0")
+        known = done.unionByName(moving)
+    none = moving.select("id", F.lit(None).cast("long").alias("level"), F.lit(None).cast(edges.schema["id"].dataType).alias("outlet"))
+    return done.select("id", (F.col("d") - 1).alias("level"), F.col("last").alias("outlet")).unionByName(none)
 
 
 def closure(edges: DataFrame, sources: DataFrame, depth: int = 10_000) -> DataFrame:
-    """(src, node, depth): the downstream path of each source, itself included, by a recursive query."""
-    spark = edges.sparkSession
-    edges.select("id", "next_down").createOrReplaceTempView("_catchwork_edges")
-    sources.select("src").createOrReplaceTempView("_catchwork_sources")
-    return spark.sql(f"""
-        WITH RECURSIVE down(src, node, depth) MAX RECURSION LEVEL {depth} AS (
-          SELECT src, src, 0 FROM _catchwork_sources
+    """(src, node, depth): the downstream path of each source, itself included, by a recursive query.
+
+    A path of over ``depth`` steps, as in a cycle, is an error, not a shorter path.
+    """
+    cut = F.raise_error(F.lit(f"a path of over {depth} steps: a cycle, or a larger depth is wanted")).cast("int")
+    found = edges.sparkSession.sql(
+        f"""
+        WITH RECURSIVE down(src, node, depth) MAX RECURSION LEVEL {depth + 2} AS (
+          SELECT src, src, 0 FROM {{sources}}
           UNION ALL
-          SELECT d.src, e.next_down, d.depth + 1 FROM down d JOIN _catchwork_edges e ON d.node = e.id WHERE e.next_down <> 0 AND d.depth < {depth}
-        ) SELECT src, node, depth FROM down""")
+          SELECT d.src, e.next_down, d.depth + 1 FROM down d JOIN {{edges}} e ON d.node = e.id WHERE e.next_down <> 0 AND d.depth <= {depth}
+        ) SELECT src, node, depth FROM down""",
+        edges=edges.select("id", "next_down"),
+        sources=sources.select("src"),
+    )
+    return found.withColumn("depth", F.when(F.col("depth") > depth, cut).otherwise(F.col("depth")))
 
 
 def first_common(paths: DataFrame, members: DataFrame) -> DataFrame:
@@ -63,8 +73,8 @@ def first_common(paths: DataFrame, members: DataFrame) -> DataFrame:
 def propagate(segments: DataFrame, limit: float, by: str = "main_riv") -> DataFrame:
     """(id, level, inflow, ratio, alive, outflow): loads carried from the highest level to the outlet.
 
-    segments has id, next_down, ``by``, pop, q, length, lat. A segment takes what its upstream segments hand on, else (nothing
-    handed on) its own population's load; a load handed on plus an own load add up. Decay and limits follow
+    segments has id, next_down, ``by``, pop, q, length, lat. A segment's load is what its upstream segments hand on plus its own
+    population's load. Decay and limits follow
     ``formulas``. One river system is one group: its segments are walked once, upstream first, in linear time.
     """
     own = segments.select("id", F.coalesce("next_down", F.lit(0)).alias("next_down"), by, F.coalesce("pop", F.lit(0.0)).alias("pop"), F.coalesce(F.nullif("q", F.lit(0.0)), F.lit(0.269)).alias("q"), decay_rate(F.col("lat")).alias("k"), last_sample(F.col("length")).alias("d"))

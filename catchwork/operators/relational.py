@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stage import checkpointed
+
 
 def drop_duplicates_keep_null(df: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
     """The first row of each non-null key by ``order``; every row with a null key."""
@@ -18,9 +20,10 @@ def drop_duplicates_keep_null(df: DataFrame, key: str, order: list[Column | str]
 def dense_ids(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
     """Dense, reproducible row numbers from 0 by a total order, without one task for all rows.
 
-    Rows are range-partitioned and sorted; each partition's count gives the next one's offset (one number a partition).
+    Rows are range-partitioned and sorted; each partition's count gives the next one's offset (one number a partition). The
+    placed rows are stored, so that counts and ids see the same partitions.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    placed = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, total = [], 0
     for k in range(max(counts, default=-1) + 1):

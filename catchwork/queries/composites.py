@@ -77,21 +77,21 @@ def n6_compare_by_country(spark: SparkSession, d: str) -> DataFrame:
     return j.select("country", "s_n", "t_n", F.round(fx.ndi(F.col("s_n").cast("double"), F.col("t_n").cast("double")), 6).alias("ndi"))
 
 
-@query(f"select t.tid, best.pid, round(best.pop, 2) pop, round(case when 1000 <> 0 then (best.pop - 1000) / 1000.0::double + 1 end, 6) multiple from {TARGETS} t join (select t.tid, min(struct_pack(dist := {_DIST}, pid := s.pid, pop := s.pop)) best from {TARGETS} t join {SITES} s on {_DIST} < 8 group by 1) b on t.tid = b.tid")
+@query(f"select t.tid, best.pid, round(best.dist, 4) dist, round(best.pop, 2) pop, round(case when 1000 <> 0 then (best.pop - 1000) / 1000.0::double + 1 end, 6) multiple from {TARGETS} t join (select t.tid, min(struct_pack(dist := {_DIST}, pid := s.pid, pop := s.pop)) best from {TARGETS} t join {SITES} s on {_DIST} < 8 group by 1) b on t.tid = b.tid")
 def n7_nearest_reference_plant(spark: SparkSession, d: str) -> DataFrame:
     t = targets(spark, d).selectExpr("tid sid", "tx sx", "ty sy")
     near = spatial_join.nearest_within(t, sites(spark, d).selectExpr("pid tid", "x tx", "y ty"), 8.0).where("tid is not null")
-    j = near.selectExpr("sid tid", "tid pid").join(sites(spark, d).select("pid", "pop"), "pid")
-    return j.select("tid", "pid", F.round("pop", 2).alias("pop"), F.round(fx.multiple(F.col("pop"), F.lit(1000.0)), 6).alias("multiple"))
+    j = near.selectExpr("sid tid", "tid pid", "dist").join(sites(spark, d).select("pid", "pop"), "pid")
+    return j.select("tid", "pid", r4("dist").alias("dist"), F.round("pop", 2).alias("pop"), F.round(fx.multiple(F.col("pop"), F.lit(1000.0)), 6).alias("multiple"))
 
 
 @query(f"""with u as (select pid, x, y from {SITES} union all select 100000 + tid, tx, ty from {TARGETS} t where not exists (select 1 from {SITES} s where {_DIST} <= 3)),
-    e as (with recursive e as (select a.pid a, b.pid b from u a join u b on sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1.5), r(pid, other) as (select a, b from e union select r.pid, e.b from r join e on r.other = e.a) select pid, min(other) as cluster from r group by 1) select cluster, count(*)::bigint n from e group by 1""")
+    e as (with recursive e as (select a.pid a, b.pid b from u a join u b on sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1.5), r(pid, other) as (select a, b from e union select r.pid, e.b from r join e on r.other = e.a) select pid, min(other) as cluster from r group by 1) select pid, cluster from e""")
 def n8_site_merge(spark: SparkSession, d: str) -> DataFrame:
     own = sites(spark, d)
     new = spatial_join.unmatched_targets(own.selectExpr("pid sid", "x sx", "y sy"), targets(spark, d), 3.0).selectExpr("100000 + tid pid", "tx x", "ty y")
     every = relational.union_all_by_name([own.select("pid", "x", "y"), new])
-    return cluster.radius_clusters(every, 1.5).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return cluster.radius_clusters(every, 1.5).select("pid", "cluster")
 
 
 @query(f"""select tile, round(sum(value), 2) as risk, count(*)::bigint n from (select p.value, cast(least(greatest(floor((p.x + 180.0) / 360.0 * 64), 0), 63) as int) || '-' || cast(least(greatest(floor((1.0 - asinh(tan(radians(p.y))) / pi()) / 2.0 * 64), 0), 63) as int) || '-6' tile from {PIXELS} p

@@ -50,11 +50,12 @@ def i15_web_mercator(spark: SparkSession, d: str) -> DataFrame:
     return sites(spark, d).select("pid", r4(x, 3).alias("mx"), r4(y, 3).alias("my"))
 
 
-@query(f"""select pid, cast(round_even((case when dx > 20037508.342789244 then dx - 40075016.68557849 when dx < -20037508.342789244 then dx + 40075016.68557849 else dx end) * (512 / 10000000.0::double) + 256, 0) as int) px from (select pid, radians(x) * 6378137 - 15000000 dx from {SITES})""")
+@query(f"""select pid, cast(round_even((case when dx > 20037508.342789244 then dx - 40075016.68557849 when dx < -20037508.342789244 then dx + 40075016.68557849 else dx end) * (512 / 10000000.0::double) + 256, 0) as int) px,
+    cast(round_even((1000000 - my) * (512 / 10000000.0::double) + 256, 0) as int) py from (select pid, radians(x) * 6378137 - 15000000 dx, ln(tan(pi() / 4 + radians(y) / 2)) * 6378137 my from {SITES})""")
 def i16_mercator_pixel(spark: SparkSession, d: str) -> DataFrame:
     x, y = g.mercator_xy(F.col("x"), F.col("y"))
-    px, _ = g.mercator_pixel(x, y, F.lit(15_000_000.0), F.lit(0.0), 512, 10_000_000.0)
-    return sites(spark, d).select("pid", px.alias("px"))
+    px, py = g.mercator_pixel(x, y, F.lit(15_000_000.0), F.lit(1_000_000.0), 512, 10_000_000.0)
+    return sites(spark, d).select("pid", px.alias("px"), py.alias("py"))
 
 
 _TX = "least(greatest(cast(floor(({}) / 360.0 * 256) as int), 0), 255)"
