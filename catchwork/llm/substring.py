@@ -107,14 +107,26 @@ def chunks(rows: DataFrame, repeated: Broadcast | None = None) -> DataFrame:
 
 
 def digest_filter(shared: DataFrame) -> np.ndarray:
-    """A bit for each digest (s1) of ``shared``; it only spares rows that cannot meet, whatever its size."""
+    """A bit for each digest (s1) of ``shared``; it only spares rows that cannot meet, whatever its size.
+
+    Bits are joined to words and words to blocks of 64 KB by grouping, so that the driver gets a few hundred rows at the most.
+    """
     n = shared.count()
     bits = min(MOST_FILTER, max(LEAST_FILTER, 1 << (16 * n).bit_length()))
     place = F.col("s1").bitwiseAND(F.lit(bits - 1))
-    words = shared.groupBy(F.shiftright(place, 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(31)).cast("int"))).alias("bits"))
-    found, out = words.toPandas(), np.zeros(bits >> 5, "<u4")
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype("<u4")
-    return out.view(np.uint8)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(31)).cast("int"))
+    words = shared.groupBy(F.shiftright(place, 5).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    size = min(bits >> 5, 1 << 14)
+
+    def packed(group: pa.Table) -> pa.Table:
+        own, at = np.zeros(size, "<u4"), group.column("word").to_numpy()
+        own[at % size] = group.column("bits").to_numpy().astype("<u4")
+        return pa.table({"block": pa.array([at[0] // size], pa.int64()), "bits": pa.array([own.tobytes()], pa.binary())})
+
+    out = np.zeros(bits >> 3, np.uint8)
+    for r in words.groupBy(F.floor(F.col("word") / size).alias("part")).applyInArrow(packed, "block bigint, bits binary").toLocalIterator():
+        out[r["block"] * size * 4 : (r["block"] + 1) * size * 4] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
