@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 
 import numpy as np
@@ -58,6 +60,26 @@ def loads(data: bytes | None) -> tuple[int, list] | None:
         return None
 
 
+_NAMES = {"POINT": POINT, "LINESTRING": LINE, "POLYGON": POLYGON, "MULTIPOINT": MULTIPOINT, "MULTILINESTRING": MULTILINE, "MULTIPOLYGON": MULTIPOLYGON}
+_WKT = re.compile(r"\s*(?:SRID\s*=\s*\d+\s*;)?\s*([A-Za-z]+)\s*(?:ZM|Z|M)?\s*(\(.*\))\s*", re.S | re.I)
+
+
+def from_wkt(text: str | None) -> bytes | None:
+    """WKB of a well-known text, its first two dimensions; None for null, empty, broken and other kinds."""
+    m = _WKT.fullmatch(text or "")
+    kind = _NAMES.get(m[1].upper()) if m else None
+    if kind is None:
+        return None
+    try:
+        body = re.sub(r"[^\s(),]+(?:\s+[^\s(),]+)+", lambda p: "[" + ",".join(str(float(x)) for x in p[0].split()[:2]) + "]", m[2])
+        parts = json.loads(body.replace("(", "[").replace(")", "]"))
+        if kind == MULTIPOINT:
+            parts = [p[0] if isinstance(p[0], list) else p for p in parts]
+        return dumps(kind, parts[0] if kind == POINT else parts)
+    except (ValueError, TypeError, IndexError, struct.error):
+        return None
+
+
 def coordinates(parts: list | np.ndarray) -> list[np.ndarray]:
     """All vertices of a decoded geometry, as arrays of (x, y)."""
     if isinstance(parts, np.ndarray):
@@ -192,3 +214,8 @@ def wkb_contains(g: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
 @F.pandas_udf(T.BinaryType())
 def wkb_box(minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
     return pd.Series([dumps(POLYGON, [[(a, b), (c, b), (c, d), (a, d), (a, b)]]) for a, b, c, d in zip(minx, miny, maxx, maxy, strict=True)])
+
+
+@F.pandas_udf(T.BinaryType())
+def wkb_from_wkt(g: pd.Series) -> pd.Series:
+    return pd.Series([from_wkt(x) for x in g], dtype=object)

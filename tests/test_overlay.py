@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catchwork.operators import overlay as o
-from catchwork.operators.kernel import LINE, POINT, POLYGON, area, contains, dumps, polygons
+from catchwork.operators.kernel import LINE, MULTIPOINT, MULTIPOLYGON, POINT, POLYGON, area, contains, dumps, from_wkt, polygons
 
 STAR = [(2 + (2 if k % 2 else 0.8) * math.cos(k * math.pi / 5), 2 + (2 if k % 2 else 0.8) * math.sin(k * math.pi / 5)) for k in range(10)]
 COMB = [(0, 0), (4, 0), (4, 3), (3, 3), (3, 1), (2, 1), (2, 3), (1, 3), (1, 1), (0, 1)]
@@ -62,6 +62,16 @@ def test_lines_buffers_and_distances():
     assert o.distance(dumps(POINT, [5.0, 2.0]), square) == 3.0 and o.distance(dumps(POINT, [1.0, 1.0]), square) == 0.0 and o.distance(None, square) is None
 
 
+def test_well_known_text():
+    assert from_wkt("POINT (1 2)") == from_wkt("SRID=4326; point z(1 2 3)") == dumps(POINT, [1.0, 2.0])
+    assert from_wkt("LINESTRING(0 0, 1.5 -2e1)") == dumps(LINE, [(0, 0), (1.5, -20)])
+    square = [(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)]
+    text = "(" + ", ".join(f"{x} {y}" for x, y in square) + ")"
+    assert from_wkt(f"POLYGON ({text})") == dumps(POLYGON, [square]) and from_wkt(f"MULTIPOLYGON (({text}), ({text}))") == dumps(MULTIPOLYGON, [[square], [square]])
+    assert from_wkt("MULTIPOINT ((1 2), (3 4))") == from_wkt("MULTIPOINT (1 2, 3 4)") == dumps(MULTIPOINT, [(1, 2), (3, 4)])
+    assert [from_wkt(x) for x in (None, "", "POINT EMPTY", "POINT (1)", "POINT (a b)", "POLYGON ((0 0, 1", "CIRCLE (1 2)")] == [None] * 7
+
+
 def test_validity():
     assert all(map(o.is_valid, SHAPES)) and o.is_valid(dumps(POINT, [1.0, 2.0]))
     bow = wkb([(0, 0), (2, 2), (2, 0), (0, 2)])
