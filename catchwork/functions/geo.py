@@ -60,6 +60,12 @@ def mercator_pixel(x: Column, y: Column, cx: Column, cy: Column, size: int, metr
     return F.bround(dx * scale + size / 2).cast("int"), F.bround((cy - y) * scale + size / 2).cast("int")
 
 
+def image_bounds(cx: Column, cy: Column, width: int, height: int, zoom: int) -> tuple[Column, Column, Column, Column]:
+    """(minx, miny, maxx, maxy), in Web-Mercator metres, of an image of so many pixels about a position in metres."""
+    metres = 2 * math.pi * _A / 256 / 2**zoom
+    return cx - width * metres / 2, cy - height * metres / 2, cx + width * metres / 2, cy + height * metres / 2
+
+
 def tile_x(lon: Column, zoom: int) -> Column:
     return F.least(F.greatest(F.floor((lon + 180.0) / 360.0 * (1 << zoom)), F.lit(0)), F.lit((1 << zoom) - 1)).cast("int")
 
