@@ -7,9 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import formulas as fx
 from ..functions import geo as g
-from ..operators import catchments, kernel, polygon_join, raster, zones
-from .base import SITES, Registry, r4, sites
+from ..operators import catchments, kernel, overlay, plumes, polygon_join, raster, zones
+from .base import SITES, Registry, lat, r4, sites, sql_lat, table
 from .overlays import _union_sql
 from .rasters import _LAND, _islands_sql, _land
 
@@ -153,3 +154,16 @@ def i17_image_bounds(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select country, case when mx is null or my is null or not my between -80 and 84 then 3857 else case when my >= 0 then 32600 else 32700 end + least(cast(floor((mx + 180) / 6) as int) + 1, 60) end::int epsg from (select country, avg(x + 5.0 / 3 + 0.003) mx, avg(y + 5.0 / 3 + 0.003) my from {SITES} group by 1)")
 def i13_group_zone(spark: SparkSession, d: str) -> DataFrame:
     return polygon_join.group_zone(_ells(spark, d), "country").select("country", "epsg")
+
+
+_DECAY = f"(0.23 * pow(1.047::double, 28 * cos(radians(abs({sql_lat('p_partkey')}))) - 20))"
+
+
+@query(f"""select id, radius, round(2 * radius * (case when n < 2 then len else 100 * (least(n, floor(reach / 100) + 1) - 1) end), 2) area from (select p_partkey id, p_size, p_size * 40.0::double len, ceil(p_size * 40 / 100.0::double) n, ln(p_size / 10.0::double / 0.95) * 86400 / ({_DECAY} * 200) reach from part),
+    (select unnest([250.0::double, 500.0::double]) radius) where p_size >= 10 and case when n < 2 then reach >= len else reach >= 100 end""")
+def m5_ribbons(spark: SparkSession, d: str) -> DataFrame:
+    """Ribbons of straight segments, whose decay is two hundredfold, so that plumes end within a segment."""
+    p = table(spark, d, "part").withColumn("len", F.col("p_size") * 40.0).withColumn("decay", fx.decay_rate(lat("p_partkey")) * 200)
+    each = p.withColumn("radius", F.explode(F.array(F.lit(250.0), F.lit(500.0)))).withColumn("geom", overlay.wkb_line(F.lit(0.0), F.lit(0.0), F.col("len") * 0.6, F.col("len") * 0.8))
+    cut = each.withColumn("geom", plumes.wkb_ribbon("geom", F.col("p_size") / 10.0, "decay", F.lit(0.95), "radius")).where("geom is not null")
+    return cut.select(F.col("p_partkey").alias("id"), "radius", r4(kernel.wkb_area("geom"), 2).alias("area"))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from . import geotiff, shapefile
+
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
     """A CSV file with a header; ``columns``: all as strings, any length of field, for a later try_cast."""
@@ -195,7 +197,7 @@ def write_grid(df: DataFrame, path: str, rows: int, cols: int, size: float, x0:
 
 def register(spark: SparkSession) -> None:
     """Make the data sources known to a session."""
-    for source in (GeoPackage, RasterBlocks):
+    for source in (GeoPackage, RasterBlocks, geotiff.GeoTiff, shapefile.Shapefile):
         spark.dataSource.register(source)
 
 

@@ -68,6 +68,27 @@ def write_geojson(df: DataFrame, path: str, geom: str = "geom") -> None:
     df.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
+def write_feature_collection(df: DataFrame, path: str, geom: str = "geom") -> int:
+    """One FeatureCollection file, an export for small results: lines come through the driver's iterator. Returns their number."""
+    own = F.struct(*[c for c in df.columns if c != geom])
+    lines, n = df.select(F.to_json(own).alias("p"), F.coalesce(wkb_geometry(geom), F.lit("null")).alias("g")), 0
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('{"type":"FeatureCollection","features":[')
+        for r in lines.toLocalIterator():
+            f.write(f'{"," if n else ""}{{"type":"Feature","properties":{r["p"] or "{}"},"geometry":{r["g"]}}}')
+            n += 1
+        f.write("]}")
+    return n
+
+
+def geojson_to_parquet(spark: SparkSession, path: str, out: str, properties: dict[str, str] | None = None, overwrite: bool = False) -> DataFrame:
+    """GeoJSON files (a path or glob) as Parquet, written once unless ``overwrite``; absent properties are null."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_SUCCESS")
+    if overwrite or not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        read_geojson(spark, path, properties).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
 #: Schema of an Overpass document.
 OVERPASS = "elements array<struct<type:string,id:bigint,lon:double,lat:double,nodes:array<bigint>,tags:map<string,string>,members:array<struct<type:string,ref:bigint,role:string>>>>"
 
