@@ -8,6 +8,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,6 +180,12 @@ def _doubles(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
 
 
+def wkb_kind(g: Column) -> Column:
+    """The kind of a geometry as a number: 1 point, 2 line, 3 polygon, 4 to 6 their multiples; null for null."""
+    order, first = F.hex(F.substring(g, 1, 1)), lambda at: F.conv(F.hex(F.substring(g, at, 1)), 16, 10).cast("int")
+    return F.when(order == "01", first(2)).when(order == "00", first(5))
+
+
 @F.pandas_udf(T.DoubleType())
 def wkb_area(g: pd.Series) -> pd.Series:
     return g.map(area).astype(float)
@@ -190,6 +197,17 @@ def wkb_centroid(g: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(c, columns=["x", "y"])
 
 
+@F.pandas_udf(_doubles("x", "y"))
+def wkb_largest_centroid(g: pd.Series) -> pd.DataFrame:
+    """The centroid of the largest part of a multi-polygon; of other kinds the whole's."""
+
+    def one(data: bytes | None) -> tuple:
+        parts = [dumps(POLYGON, p) for p in polygons(data)]
+        return centroid(max(parts, key=area) if parts else data) or (None, None)
+
+    return pd.DataFrame([one(x) for x in g], columns=["x", "y"])
+
+
 @F.pandas_udf(_doubles("minx", "miny", "maxx", "maxy"))
 def wkb_bounds(g: pd.Series) -> pd.DataFrame:
     def one(data: bytes | None) -> tuple:

@@ -43,15 +43,24 @@ def shard(df: DataFrame, key: str, index: int, total: int, seed: int = 0) -> Dat
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(total)) == index)
 
 
+def _dealt(key: str, seed: int = 0) -> Column:
+    """A seeded digest of a key, the same on every engine."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+
+
 def stratified_sample(df: DataFrame, cls: str, key: str, n: int, seed: int = 0, classes: int | None = None) -> DataFrame:
-    """floor(n / classes) rows of each class by a seeded hash order, then others in hash order up to n rows in all."""
+    """floor(n / classes) rows of each class by a seeded digest's order, then others in that order up to n rows in all.
+
+    ``key`` identifies a row. A task passes on no more rows of a class than are wanted, and the others are among the first 2 n of all.
+    """
     k = classes or df.select(cls).distinct().count()
     if not k:
         return df.limit(0)
-    order = [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(cls).orderBy(*order)))
-    first = F.when(F.col("_rank") <= n // k, 0).otherwise(1)
-    return ranked.orderBy(first, *order).limit(n).drop("_rank")
+    drawn, order = df.withColumn("_draw", _dealt(key, seed)), ["_draw", key]
+    rank = F.row_number().over(Window.partitionBy(cls).orderBy(*order))
+    first = drawn.withColumn("_rank", rank).where(F.col("_rank") <= n // k).drop("_rank").withColumn("_late", F.lit(0))
+    rest = drawn.orderBy(*order).limit(2 * n).join(first.select(key), key, "left_anti").withColumn("_late", F.lit(1))
+    return first.unionByName(rest).orderBy("_late", *order).limit(n).drop("_late", "_draw")
 
 
 def union_all_by_name(frames: list[DataFrame]) -> DataFrame:
@@ -106,6 +115,7 @@ def trimmed_histogram(df: DataFrame, value: str, low: float, high: float, bins:
 
 
 def round_robin(df: DataFrame, key: str, endpoints: list[str]) -> DataFrame:
-    """Each row's endpoint, dealt by a hash of its key."""
+    """Each row's endpoint, dealt by a digest of its key."""
     urls = F.array(*[F.lit(u) for u in endpoints])
-    return df.withColumn("endpoint", F.element_at(urls, (F.pmod(F.xxhash64(key), F.lit(len(endpoints))) + 1).cast("int")))
+    number = F.conv(F.substring(_dealt(key), 1, 8), 16, 10).cast("long")
+    return df.withColumn("endpoint", F.element_at(urls, (number % len(endpoints) + 1).cast("int")))

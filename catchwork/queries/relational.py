@@ -134,7 +134,8 @@ def f8_newest_per_country(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("country").agg(F.max_by("path", "year").alias("path"), F.max("year").alias("year"))
 
 
-@query(None)
+@query("""select c_custkey, c_mktsegment from (select *, row_number() over (partition by c_mktsegment order by h, c_custkey) r from (select *, md5('42|' || c_custkey) h from customer))
+    order by r > 200 // (select count(distinct c_mktsegment) from customer), h, c_custkey limit 200""")
 def f7_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return ops.stratified_sample(table(spark, d, "customer"), "c_mktsegment", "c_custkey", 200, seed=42).select("c_custkey", "c_mktsegment")
 
@@ -154,7 +155,7 @@ def g4_shards_partition(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("o_orderkey").agg(F.count("shard").alias("shards"))
 
 
-@query(None)
+@query("select event_id, 'u' || (('0x' || md5('0|' || event_id)[1:8])::bigint % 3 + 1) as endpoint from events")
 def g6_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return ops.round_robin(table(spark, d, "events"), "event_id", ["u1", "u2", "u3"]).select("event_id", "endpoint")
 

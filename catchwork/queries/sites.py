@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geo import ring_area
 from ..operators import allocation, cluster, spatial_join
 from .base import SITES, Registry, r4, sites
 
@@ -108,6 +109,9 @@ def l10_region_areas(spark: SparkSession, d: str) -> DataFrame:
     return allocation.regions(_allocated(spark, d, "multiplicative"), "country", 1.0).select("country", "site", "n_cells", "area")
 
 
-@query(None)
+@query(f"select country, site, count(*)::double area from {_allocated_sql(_MULT)} group by 1, 2")
 def l9_region_outlines(spark: SparkSession, d: str) -> DataFrame:
-    return allocation.region_outlines(_allocated(spark, d, "multiplicative"), "country")
+    """What the outlines enclose, holes taken away, is what the cells cover."""
+    rings = allocation.region_outlines(_allocated(spark, d, "multiplicative"), "country")
+    enclosed = F.aggregate(F.transform("rings", ring_area), F.lit(0.0), lambda a, t: a + t)
+    return rings.select("country", "site", enclosed.alias("area"))

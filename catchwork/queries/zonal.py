@@ -11,6 +11,7 @@ from ..functions import formulas as fx
 from ..functions import geo as g
 from ..operators import catchments, kernel, overlay, plumes, polygon_join, raster, zones
 from .base import SITES, Registry, lat, r4, sites, sql_lat, table
+from .geo import _EPSG
 from .overlays import _union_sql
 from .rasters import _LAND, _islands_sql, _land
 
@@ -167,3 +168,30 @@ def m5_ribbons(spark: SparkSession, d: str) -> DataFrame:
     each = p.withColumn("radius", F.explode(F.array(F.lit(250.0), F.lit(500.0)))).withColumn("geom", overlay.wkb_line(F.lit(0.0), F.lit(0.0), F.col("len") * 0.6, F.col("len") * 0.8))
     cut = each.withColumn("geom", plumes.wkb_ribbon("geom", F.col("p_size") / 10.0, "decay", F.lit(0.95), "radius")).where("geom is not null")
     return cut.select(F.col("p_partkey").alias("id"), "radius", r4(kernel.wkb_area("geom"), 2).alias("area"))
+
+
+@query(f"select pid, round(x + 5.0 / 3 + 0.003, 4) cx, round(y + 5.0 / 3 + 0.003, 4) cy from {SITES}")
+def i4_largest_part_centroid(spark: SparkSession, d: str) -> DataFrame:
+    small = F.lit("((100 80, 101 80, 101 81, 100 81, 100 80))")
+    parts = sites(spark, d).select("pid", F.concat(F.lit("MULTIPOLYGON ("), small, F.lit(", "), F.replace(_ell(F.col("x"), F.col("y")), F.lit("POLYGON "), F.lit("")), F.lit(")")).alias("t"))
+    c = parts.select("pid", kernel.wkb_largest_centroid(kernel.wkb_from_wkt("t")).alias("c"))
+    return c.select("pid", r4("c.x").alias("cx"), r4("c.y").alias("cy"))
+
+
+@query(f"select pid from {SITES} where pid % 4 = 0")
+def c16_points_only(spark: SparkSession, d: str) -> DataFrame:
+    x, y = F.col("x").cast("string"), F.col("y").cast("string")
+    point = F.concat(F.lit("POINT ("), x, F.lit(" "), y, F.lit(")"))
+    text = F.when(F.col("pid") % 4 == 0, point).when(F.col("pid") % 4 == 1, _ell(F.col("x"), F.col("y"))).when(F.col("pid") % 4 == 2, F.lit("POINT (1"))
+    s = sites(spark, d).select("pid", kernel.wkb_from_wkt(text).alias("geom"))
+    return s.where(kernel.wkb_kind(F.col("geom")) == kernel.POINT).select("pid")
+
+
+_ZONED = f"(select *, {_EPSG}::int epsg from {SITES})"
+
+
+@query(f"select p.pid, min(b.pid) bid from {_ZONED} p left join {_ZONED} b on p.epsg = b.epsg and p.x > b.x - 1.5 and p.x < b.x + 1.5 and p.y > b.y - 1.5 and p.y < b.y + 1.5 group by 1")
+def d5_first_polygon_in_zone(spark: SparkSession, d: str) -> DataFrame:
+    s = sites(spark, d).withColumn("epsg", g.utm_epsg(F.col("x"), F.col("y")))
+    areas = s.select(F.col("pid").alias("bid"), "epsg", kernel.wkb_box(F.col("x") - 1.5, F.col("y") - 1.5, F.col("x") + 1.5, F.col("y") + 1.5).alias("geom"))
+    return polygon_join.first_polygon(s, areas, 3.0, ["epsg"]).select("pid", "bid")
