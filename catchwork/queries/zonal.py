@@ -67,13 +67,22 @@ def k3_e10_signed_totals(spark: SparkSession, d: str) -> DataFrame:
     return zones.signed_totals(_grid(spark, d), _ells(spark, d), 1.0, ["country"]).select("country", "sum_pos", "sum_neg")
 
 
-_COVERED = f"(select b.bid, sum(({_W}) * ({_H}) * greatest(p.value, 0)) s, sum(({_W}) * ({_H})) n, sum(({_W}) * ({_H}) * greatest(p.value, 0) * greatest(p.value, 0)) q from {_PIXELS} p join {_ELLS} b on {_W} > 0 and {_H} > 0 group by 1)"
+#: The same shape at eighths of a degree, whose shares and sums are exact in both engines.
+_X8, _Y8 = "floor(x * 4) / 4 + 0.125::double", "floor(y * 4) / 4 + 0.125::double"
+_LOW8 = f"{_X8} minx, {_Y8} miny, {_X8} + 4 maxx, {_Y8} + 2 maxy"
+_STEM8 = f"{_X8} minx, {_Y8} + 2 miny, {_X8} + 2 maxx, {_Y8} + 4 maxy"
+_EIGHTHS = f"(select pid bid, country, {_LOW8} from {SITES} union all select pid, country, {_STEM8} from {SITES})"
+_COVERED = f"(select b.bid, sum(({_W}) * ({_H}) * greatest(p.value, 0)) s, sum(({_W}) * ({_H})) n, sum(({_W}) * ({_H}) * greatest(p.value, 0) * greatest(p.value, 0)) q from {_PIXELS} p join {_EIGHTHS} b on {_W} > 0 and {_H} > 0 group by 1)"
 
 
-@query(f"select bid, round(s, 4) as sum, round(n, 4) as count, round(s / n, 4) as mean, round(sqrt(greatest(q / n - (s / n) * (s / n), 0)), 3) as std from {_COVERED}")
+@query(f"select bid, round(s, 6) as sum, round(n, 6) as count, round(s / n, 9) as mean, round(sqrt(greatest(q / n - (s / n) * (s / n), 0)), 3) as std from {_COVERED}")
 def e8_polygon_zones(spark: SparkSession, d: str) -> DataFrame:
-    z = zones.zonal_in_polygons(_grid(spark, d), _ells(spark, d), 1.0)
-    return z.select("bid", r4("sum").alias("sum"), r4("count").alias("count"), r4("mean").alias("mean"), r4("std", 3).alias("std"))
+    corner = lambda c: F.floor(F.col(c) * 4) / 4 + 0.125
+    x, y = corner("x"), corner("y")
+    at = lambda dx, dy: F.concat_ws(" ", (x + dx).cast("string"), (y + dy).cast("string"))
+    text = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *[at(*p) for p in ((0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4), (0, 0))]), F.lit("))"))
+    z = zones.zonal_in_polygons(_grid(spark, d), sites(spark, d).select(F.col("pid").alias("bid"), kernel.wkb_from_wkt(text).alias("geom")), 1.0)
+    return z.select("bid", r4("sum", 6).alias("sum"), r4("count", 6).alias("count"), r4("mean", 9).alias("mean"), r4("std", 3).alias("std"))
 
 
 _TILE = "(select i || '-' || j || '-5' tile, i / 32.0::double * 360 - 180 tx0, (i + 1) / 32.0::double * 360 - 180 tx1, degrees(atan(sinh(pi() * (1 - 2 * (j + 1) / 32.0::double)))) ty0, degrees(atan(sinh(pi() * (1 - 2 * j / 32.0::double)))) ty1 from generate_series(0, 31) a(i), generate_series(0, 31) b(j))"
@@ -88,23 +97,21 @@ def k6_islands_by_tile(spark: SparkSession, d: str) -> DataFrame:
     return zones.island_zones(found, 1.0, 5, 2)
 
 
-_TBOX = "(select pid, country, x minx, y miny, x + 4.0::double maxx, y + 2.0::double maxy from " + SITES + ")"
-
-
 @query(f"select pid, tile, round(sum((least(maxx, tx1) - greatest(minx, tx0)) * (least(maxy, ty1) - greatest(miny, ty0))), 3) area from (select bid pid, * from {_ELLS}) join {_TILE} on least(maxx, tx1) - greatest(minx, tx0) > 0.000001 and least(maxy, ty1) - greatest(miny, ty0) > 0.000001 group by 1, 2")
 def i19_i20_cut_by_tiles(spark: SparkSession, d: str) -> DataFrame:
     cut = zones.cut_by_tiles(_ells(spark, d), 5).select(F.col("bid").alias("pid"), "tile", kernel.wkb_area("geom").alias("area"))
     return cut.where("area > 0.0000001").select("pid", "tile", r4("area", 3).alias("area"))
 
 
-_SIZED = f"(select pid, country, x minx, y miny, x + 2.0::double + pid % 3 maxx, y + 2.0::double + pid % 3 maxy, pid % 3 big from {SITES})"
+#: Squares of three sizes at quarters of a degree, so that equal areas are equal to the last bit.
+_SIZED = f"(select pid, country, floor(x * 4) / 4 minx, floor(y * 4) / 4 miny, floor(x * 4) / 4 + 2 + pid % 3 maxx, floor(y * 4) / 4 + 2 + pid % 3 maxy, pid % 3 big from {SITES})"
 _LOST = f"(select a.pid, greatest(a.minx, b.minx) minx, greatest(a.miny, b.miny) miny, least(a.maxx, b.maxx) maxx, least(a.maxy, b.maxy) maxy from {_SIZED} a join {_SIZED} b on a.country = b.country and (b.big < a.big or b.big = a.big and b.pid > a.pid) and a.minx < b.maxx and b.minx < a.maxx and a.miny < b.maxy and b.miny < a.maxy)"
 
 
 @query(f"select a.pid, round((2 + big) * (2 + big) - coalesce(u.area, 0), 3) area from {_SIZED} a left join {_union_sql('pid', _LOST)} u on a.pid = u.pid where (2 + big) * (2 + big) - coalesce(u.area, 0) > 0.00001")
 def i8_settled_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    side = F.lit(2.0) + F.col("pid") % 3
-    boxes = sites(spark, d).select(F.col("pid").alias("bid"), "country", kernel.wkb_box("x", "y", F.col("x") + side, F.col("y") + side).alias("geom"))
+    side, x, y = F.lit(2.0) + F.col("pid") % 3, F.floor(F.col("x") * 4) / 4, F.floor(F.col("y") * 4) / 4
+    boxes = sites(spark, d).select(F.col("pid").alias("bid"), "country", kernel.wkb_box(x, y, x + side, y + side).alias("geom"))
     kept = catchments.settle_overlaps(boxes, 4.0, ["country"]).groupBy(F.col("bid").alias("pid")).agg(F.sum("area").alias("area"))
     return kept.where("area > 0.00001").select("pid", r4("area", 3).alias("area"))
 
