@@ -22,9 +22,16 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, keys
 
 
 def first_polygon(points: DataFrame, polygons: DataFrame, cell: float, keys: list[str] | None = None) -> DataFrame:
-    """``points`` with ``bid``, the lowest polygon that holds them; null where none does or the position is unknown."""
-    first = points_in_polygons(points, polygons, cell, keys).groupBy("pid").agg(F.min("bid").alias("bid"))
-    return points.join(first, "pid", "left")
+    """``points`` with ``bid``, the lowest polygon that holds them; null where none does or the position is unknown.
+
+    The answer depends on a point's place only, and of equal polygons only the lowest can be first: each place and each
+    geometry is tested once, however many rows share it.
+    """
+    at = ["x", "y", *(keys or [])]
+    lowest = polygons.groupBy("geom", *(keys or [])).agg(F.min("bid").alias("bid"))
+    places = points.dropna(subset=at).groupBy(*at).agg(F.min("pid").alias("pid"))
+    first = points_in_polygons(places, lowest, cell, keys).groupBy("pid").agg(F.min("bid").alias("bid"))
+    return points.join(places.join(first, "pid").select(*at, "bid"), at, "left")
 
 
 def group_zone(shapes: DataFrame, group: str) -> DataFrame:
