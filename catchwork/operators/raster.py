@@ -43,16 +43,21 @@ def zonal(pixels: DataFrame, zones: DataFrame, size: float, cell: float) -> Data
 
     pixels has minx, miny (lower-left corner) and value, each a square of side ``size``; zones are boxes. The coverage of a pixel is the
     share of its area inside the zone. Sum and deviation are those of values cut off at 0.
+
+    Values at one place are added up before any zone meets them, and zones of the same bounds are met once.
     """
-    spread = boxes_to_cells(pixels.select(F.monotonically_increasing_id().alias("bid"), "minx", "miny", (F.col("minx") + size).alias("maxx"), (F.col("miny") + size).alias("maxy"), "value"), cell)
-    left = spread.select(*[F.col(c).alias(f"p_{c}") for c in ("minx", "miny", "maxx", "maxy")], "value", "_cx", "_cy")
-    pairs = left.join(boxes_to_cells(zones, cell), ["_cx", "_cy"])
+    box = ["minx", "miny", "maxx", "maxy"]
+    v = F.greatest("value", F.lit(0.0))
+    places = pixels.where("value is not null").groupBy("minx", "miny").agg(F.count(F.lit(1)).alias("_n"), F.sum(v).alias("_v"), F.sum(v * v).alias("_q"))
+    spread = boxes_to_cells(places.select("minx", "miny", (F.col("minx") + size).alias("maxx"), (F.col("miny") + size).alias("maxy"), "_n", "_v", "_q"), cell)
+    left = spread.select(*[F.col(c).alias(f"p_{c}") for c in box], "_n", "_v", "_q", "_cx", "_cy")
+    pairs = left.join(boxes_to_cells(zones.select(*box).distinct(), cell), ["_cx", "_cy"])
     w = F.least("p_maxx", "maxx") - F.greatest("p_minx", "minx")
     h = F.least("p_maxy", "maxy") - F.greatest("p_miny", "miny")
     once = (F.floor(F.greatest("p_minx", "minx") / cell) == F.col("_cx")) & (F.floor(F.greatest("p_miny", "miny") / cell) == F.col("_cy"))
-    hit = pairs.withColumn("f", w * h / (size * size)).where((w > 0) & (h > 0) & once & F.col("value").isNotNull()).withColumn("v", F.greatest("value", F.lit(0.0)))
-    f, v = F.col("f"), F.col("v")
-    sums = hit.groupBy("bid").agg(F.sum(f * v).alias("sum"), F.sum(f).alias("count"), F.sum(f * v * v).alias("_sq"))
+    hit = pairs.withColumn("f", w * h / (size * size)).where((w > 0) & (h > 0) & once)
+    each = hit.groupBy(*box).agg(*[F.sum(F.col("f") * F.col(c)).alias(c) for c in ("_n", "_v", "_q")])
+    sums = zones.select("bid", *box).join(each, box).groupBy("bid").agg(F.sum("_v").alias("sum"), F.sum("_n").alias("count"), F.sum("_q").alias("_sq"))
     mean = F.col("sum") / F.col("count")
     return sums.select("bid", "sum", "count", mean.alias("mean"), F.sqrt(F.greatest(F.col("_sq") / F.col("count") - mean * mean, F.lit(0.0))).alias("std"))
 

@@ -56,3 +56,13 @@ def test_contains_many_shapes_in_a_batch(spark):
     for r in df.select("*", wkb_contains("g", "x", "y").alias("hit")).collect():
         want = any(contains(p, np.array([r["x"]]), np.array([r["y"]]))[0] for p in polygons(r["g"]))
         assert r["hit"] == want, (r["k"], r["x"], r["y"])
+
+
+def test_zonal_of_copies(spark, met):
+    pixels = spark.range(900).selectExpr("cast(id % 3 as double) minx", "0D miny", "case when id % 9 = 0 then null when id % 9 = 1 then -1D else 2D end value")
+    boxes = spark.range(500).selectExpr("id bid", "0.5D minx", "0D miny", "2D maxx", "1D maxy")
+    seen = met(raster, "boxes_to_cells")
+    got = raster.zonal(pixels, boxes, 1.0, 2.0).collect()
+    # pixel 0: 200 values of 2, half of each inside; pixel 1: 200 values of 2 and 100 of -1, all inside
+    assert len(got) == 500 and {tuple(round(x, 9) for x in r[1:]) for r in got} == {(600.0, 400.0, 1.5, round(0.75**0.5, 9))}
+    assert sorted(seen) == [[1], [3]]
