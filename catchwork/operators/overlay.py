@@ -11,7 +11,7 @@ Null, broken and empty geometries have no pieces: they overlap nothing, and noth
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -61,6 +61,33 @@ def common(piece: Piece, other: Piece) -> Piece:
     return piece
 
 
+def _upto(piece: Piece, axis: int, at: float, keep: int) -> Piece:
+    """The part of a convex piece below (keep 1) or above (-1) a place on an axis; corners cut there lie on it exactly."""
+    out: Piece = []
+    sides = [keep * (at - p[axis]) for p in piece]
+    for k, p in enumerate(piece):
+        q, s, t = piece[k - 1], sides[k], sides[k - 1]
+        if s * t < 0:
+            f = t / (t - s)
+            out.append((at, q[1] + f * (p[1] - q[1])) if axis == 0 else (q[0] + f * (p[0] - q[0]), at))
+        if s >= 0:
+            out.append(p)
+    return out
+
+
+def strips(piece: Piece, axis: int, size: float) -> Iterator[tuple[int, Piece]]:
+    """A convex piece cut by the grid lines of one axis: the number of each strip with its part, where that has an area."""
+    low, high = min(p[axis] for p in piece), max(p[axis] for p in piece)
+    first, last = math.floor(low / size), math.floor(high / size)
+    for k in range(first, last + 1):
+        own = piece if k == last else _upto(piece, axis, (k + 1) * size, 1)
+        piece = piece if k == last else _upto(piece, axis, (k + 1) * size, -1)
+        if len(own) > 2 and area_of(own) > TINY:
+            yield k, own
+        if len(piece) < 3:
+            break
+
+
 def without(piece: Piece, other: Piece) -> list[Piece]:
     """What a convex piece keeps outside another one, as convex pieces."""
     if not common(piece, other):

@@ -6,22 +6,43 @@ Pixel (px, py) is the square from (px, py) times the pixel size to the next whol
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo as g
-from .kernel import wkb_area, wkb_bounds, wkb_box
-from .overlay import in_cells, wkb_intersection
+from .kernel import distinct_shapes, shape_id, wkb_area, wkb_bounds, wkb_box
+from .overlay import area_of, in_cells, pieces, strips, wkb_intersection
 from .polygon_join import points_in_polygons
 
 #: Pixels along the side of a block of the first cut.
 BLOCK = 16
 
 
+_SHARE = T.StructType([T.StructField("px", T.LongType()), T.StructField("py", T.LongType()), T.StructField("share", T.DoubleType())])
+
+
+@F.pandas_udf(T.ArrayType(_SHARE))
+def _shares(g: pd.Series, size: pd.Series) -> pd.Series:
+    """The pixels that each polygon covers, with the share of their area: convex pieces are cut to rows, those to pixels."""
+
+    def one(data: bytes, size: float) -> list[dict]:
+        found: dict[tuple[int, int], float] = {}
+        for piece in pieces(bytes(data)):
+            for py, row in strips(piece, 1, size):
+                for px, own in strips(row, 0, size):
+                    found[px, py] = found.get((px, py), 0.0) + area_of(own)
+        return [{"px": px, "py": py, "share": area / (size * size)} for (px, py), area in found.items()]
+
+    return pd.Series([one(x, s) for x, s in zip(g, size, strict=True)], dtype=object)
+
+
 def coverage(zones: DataFrame, size: float, block: int = BLOCK) -> DataFrame:
     """Zones (bid, geom, ...) as rows (bid, ..., px, py, share): the share of each pixel's area that a zone covers, where it is above 0."""
     coarse = in_cells(zones, size * block).drop("_cx", "_cy")
-    fine = in_cells(coarse, size).withColumn("share", wkb_area("geom") / (size * size)).withColumnsRenamed({"_cx": "px", "_cy": "py"})
+    shares = coarse.withColumn("_p", F.explode(_shares("geom", F.lit(size)))).drop("geom")
+    fine = shares.select("*", "_p.px", "_p.py", "_p.share").drop("_p")
     # a pixel on the border of two blocks may be cut twice by rounding
     return fine.groupBy(*[c for c in fine.columns if c not in ("geom", "share")]).agg(F.sum("share").alias("share"))
 
@@ -29,11 +50,14 @@ def coverage(zones: DataFrame, size: float, block: int = BLOCK) -> DataFrame:
 def zonal_in_polygons(pixels: DataFrame, zones: DataFrame, size: float, rounded: bool = False) -> DataFrame:
     """(bid, sum, count, mean, std) of pixels (px, py, value), weighted by coverage; values below 0 count as 0 in sum and deviation.
 
-    ``rounded``: sum to the nearest whole number and count cut to one.
+    ``rounded``: sum to the nearest whole number and count cut to one. Equal geometries are cut once, whatever the number of their zones.
     """
-    hit = coverage(zones.select("bid", "geom"), size).join(pixels.where("value is not null").select("px", "py", "value"), ["px", "py"])
-    f, v = F.col("share"), F.greatest("value", F.lit(0.0))
-    sums = hit.groupBy("bid").agg(F.sum(f * v).alias("sum"), F.sum(f).alias("count"), F.sum(f * v * v).alias("_sq"))
+    v = F.greatest("value", F.lit(0.0))
+    places = pixels.where("value is not null").groupBy("px", "py").agg(F.count(F.lit(1)).alias("_n"), F.sum(v).alias("_v"), F.sum(v * v).alias("_q"))
+    hit = coverage(distinct_shapes(zones), size).join(places, ["px", "py"])
+    each = hit.groupBy(F.col("bid").alias("_shape")).agg(*[F.sum(F.col("share") * F.col(c)).alias(c) for c in ("_n", "_v", "_q")])
+    own = zones.select("bid", shape_id("geom").alias("_shape")).join(each, "_shape")
+    sums = own.groupBy("bid").agg(F.sum("_v").alias("sum"), F.sum("_n").alias("count"), F.sum("_q").alias("_sq"))
     mean = F.col("sum") / F.col("count")
     std = F.sqrt(F.greatest(F.col("_sq") / F.col("count") - mean * mean, F.lit(0.0)))
     whole = (lambda c: c.cast("long")) if rounded else (lambda c: c)
@@ -48,7 +72,7 @@ def masked(pixels: DataFrame, zones: DataFrame, cell: float, keys: list[str] | N
 
 def signed(pixels: DataFrame, zones: DataFrame, size: float) -> DataFrame:
     """Pixels (px, py, value, ...) as whole numbers: positive where a zone touches the pixel's area, else negative; no data is 0."""
-    touched = coverage(zones.select("bid", "geom"), size).select("px", "py").distinct().withColumn("_in", F.lit(True))
+    touched = coverage(distinct_shapes(zones).select("geom"), size).select("px", "py").distinct().withColumn("_in", F.lit(True))
     size_of = F.abs(F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)).cast("long"))
     return pixels.join(touched, ["px", "py"], "left").withColumn("value", F.when(F.col("_in"), size_of).otherwise(-size_of)).drop("_in")
 

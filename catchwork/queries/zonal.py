@@ -31,7 +31,7 @@ def _ell(x: Column, y: Column) -> Column:
 
 
 def _ells(spark: SparkSession, d: str) -> DataFrame:
-    return sites(spark, d).select(F.col("pid").alias("bid"), "country", kernel.wkb_from_wkt(_ell(F.col("x"), F.col("y"))).alias("geom"))
+    return kernel.with_wkb(sites(spark, d), _ell(F.col("x"), F.col("y"))).select(F.col("pid").alias("bid"), "country", "geom")
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +81,7 @@ def e8_polygon_zones(spark: SparkSession, d: str) -> DataFrame:
     x, y = corner("x"), corner("y")
     at = lambda dx, dy: F.concat_ws(" ", (x + dx).cast("string"), (y + dy).cast("string"))
     text = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *[at(*p) for p in ((0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4), (0, 0))]), F.lit("))"))
-    z = zones.zonal_in_polygons(_grid(spark, d), sites(spark, d).select(F.col("pid").alias("bid"), kernel.wkb_from_wkt(text).alias("geom")), 1.0)
+    z = zones.zonal_in_polygons(_grid(spark, d), kernel.with_wkb(sites(spark, d), text).select(F.col("pid").alias("bid"), "geom"), 1.0)
     return z.select("bid", r4("sum", 6).alias("sum"), r4("count", 6).alias("count"), r4("mean", 9).alias("mean"), r4("std", 3).alias("std"))
 
 

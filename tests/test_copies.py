@@ -66,3 +66,11 @@ def test_zonal_of_copies(spark, met):
     # pixel 0: 200 values of 2, half of each inside; pixel 1: 200 values of 2 and 100 of -1, all inside
     assert len(got) == 500 and {tuple(round(x, 9) for x in r[1:]) for r in got} == {(600.0, 400.0, 1.5, round(0.75**0.5, 9))}
     assert sorted(seen) == [[1], [3]]
+
+
+def test_signed_totals_of_copies(spark, met):
+    shapes = spark.range(400).select(F.col("id").alias("bid"), F.lit(box(0.5, 0.5, 2.5, 1.5)).alias("geom"))
+    pixels = spark.range(16).selectExpr("id % 4 px", "id div 4 py", "2.9D value", "1 k")
+    seen = met(zones, "in_cells")
+    assert tuple(zones.signed_totals(pixels, shapes, 1.0, ["k"]).first()) == (1, 12, -20)
+    assert seen == [[1]]
