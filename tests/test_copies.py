@@ -74,3 +74,13 @@ def test_signed_totals_of_copies(spark, met):
     seen = met(zones, "in_cells")
     assert tuple(zones.signed_totals(pixels, shapes, 1.0, ["k"]).first()) == (1, 12, -20)
     assert seen == [[1]]
+
+
+def test_zonal_in_polygons_of_copies(spark, met):
+    shapes = spark.range(400).select(F.col("id").alias("bid"), F.lit(box(0.5, 0.5, 2.5, 1.5)).alias("geom"))
+    # one zone of two parts, in two rows
+    shapes = shapes.union(spark.createDataFrame([(400, box(0, 0, 1, 1)), (400, box(3, 3, 4, 4))], "bid long, geom binary"))
+    pixels = spark.range(16).selectExpr("id % 4 px", "id div 4 py", "2D value")
+    seen = met(zones, "in_cells")
+    got = {r["bid"]: tuple(r[1:]) for r in zones.zonal_in_polygons(pixels, shapes, 1.0).collect()}
+    assert got == dict.fromkeys(range(401), (4.0, 2.0, 2.0, 0.0)) and seen == [[3]]
