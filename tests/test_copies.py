@@ -84,3 +84,14 @@ def test_zonal_in_polygons_of_copies(spark, met):
     seen = met(zones, "in_cells")
     got = {r["bid"]: tuple(r[1:]) for r in zones.zonal_in_polygons(pixels, shapes, 1.0).collect()}
     assert got == dict.fromkeys(range(401), (4.0, 2.0, 2.0, 0.0)) and seen == [[3]]
+
+
+def test_closure_of_over_a_million_rows(spark):
+    chain = spark.range(1, 1501).selectExpr("id", "id - 1 next_down")
+    paths = network.closure(chain, chain.selectExpr("id src"), 1499)
+    assert paths.agg(F.count("*"), F.sum("depth"), F.count_distinct("src", "node")).first()[:] == (1_125_750, 562499750, 1_125_750)
+    loop = spark.createDataFrame([(1, 2), (2, 1), (3, 0)], "id long, next_down long")
+    assert network.closure(loop, spark.createDataFrame([(3,)], "src long"), 5).collect() == [(3, 3, 0)]
+    for sources, depth in ((loop, 5), (chain, 1498)):
+        with pytest.raises(Exception, match="a path of over"):
+            network.closure(sources, sources.selectExpr("id src"), depth).collect()
