@@ -95,3 +95,10 @@ def test_closure_of_over_a_million_rows(spark):
     for sources, depth in ((loop, 5), (chain, 1498)):
         with pytest.raises(Exception, match="a path of over"):
             network.closure(sources, sources.selectExpr("id src"), depth).collect()
+
+
+def test_first_polygon_of_copies(spark, met):
+    points, squares = _crowd(spark)
+    seen = met(polygon_join, "points_in_polygons")
+    got = polygon_join.first_polygon(points.drop("country"), squares.drop("country"), 2.0).select("pid", "bid").collect()
+    assert dict(got) == {k: 1000 + k % 2 for k in range(600)} and seen == [[2, 2]]
