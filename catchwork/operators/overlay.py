@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import LINE, MULTILINE, MULTIPOINT, MULTIPOLYGON, POINT, dumps, loads, polygons, wkb_bounds
+from .kernel import LINE, MULTILINE, MULTIPOINT, MULTIPOLYGON, POINT, distinct_shapes, dumps, loads, polygons, shape_id, wkb_bounds
 from .spatial_join import boxes_to_cells
 
 Piece = list[tuple[float, float]]
@@ -320,9 +320,14 @@ def meeting(left: DataFrame, right: DataFrame, cell: float, keys: list[str] | No
 
 
 def overlaps(left: DataFrame, right: DataFrame, cell: float, keys: list[str] | None = None) -> DataFrame:
-    """(a, b, area) of polygons (bid, geom) of equal ``keys`` that overlap in an area."""
-    found = meeting(left, right, cell, keys).select("a", "b", wkb_common_area("a_geom", "b_geom").alias("area"))
-    return found.where(F.col("area") > TINY)
+    """(a, b, area) of polygons (bid, geom) of equal ``keys`` that overlap in an area.
+
+    Different geometries meet once each; their areas are then given to every pair of rows that have them.
+    """
+    keys = keys or []
+    found = meeting(distinct_shapes(left, *keys), distinct_shapes(right, *keys), cell, keys).select("a", "b", wkb_common_area("a_geom", "b_geom").alias("area")).where(F.col("area") > TINY)
+    own = lambda d, p: d.select(shape_id("geom", *keys).alias(p), F.col("bid").alias(f"_{p}"))
+    return found.join(own(right, "b"), "b").join(own(left, "a"), "a").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "area")
 
 
 def lines_in_polygons(lines: DataFrame, areas: DataFrame, cell: float, keys: list[str] | None = None) -> DataFrame:

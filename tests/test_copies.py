@@ -102,3 +102,13 @@ def test_first_polygon_of_copies(spark, met):
     seen = met(polygon_join, "points_in_polygons")
     got = polygon_join.first_polygon(points.drop("country"), squares.drop("country"), 2.0).select("pid", "bid").collect()
     assert dict(got) == {k: 1000 + k % 2 for k in range(600)} and seen == [[2, 2]]
+
+
+@pytest.mark.parametrize("keys", [[], ["country"]])
+def test_overlaps_of_copies(spark, met, keys):
+    _, left = _crowd(spark)
+    right = left.limit(0).union(spark.createDataFrame([(k, k % 2, box(k % 2 * 10, -1, k % 2 * 10 + 3, 1)) for k in range(40)] + [(99, 0, None)], "bid long, country long, geom binary"))
+    seen = met(overlay, "meeting")
+    got = [tuple(r) for r in overlay.overlaps(left, right, 2.0, keys).collect()]
+    assert sorted(got) == sorted((1000 + a, b, 2.0) for a in range(600) for b in range(40) if a % 2 == b % 2)
+    assert seen == [[2, 2]]
