@@ -112,3 +112,10 @@ def test_overlaps_of_copies(spark, met, keys):
     got = [tuple(r) for r in overlay.overlaps(left, right, 2.0, keys).collect()]
     assert sorted(got) == sorted((1000 + a, b, 2.0) for a in range(600) for b in range(40) if a % 2 == b % 2)
     assert seen == [[2, 2]]
+
+
+def test_first_common_node_over_a_million_rows(spark):
+    chain = spark.range(1, 1501).selectExpr("id", "id - 1 next_down")
+    members = chain.selectExpr("id % 2 poly", "id src")
+    paths = network.closure(chain, members.select("src"), 1499)
+    assert {r["poly"]: r["node"] for r in network.first_common(paths, members).collect()} == {0: 2, 1: 1}
