@@ -1,20 +1,22 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is its lower-cased words and one end. Each token is read as bits of two kinds. First its class, the ``CLASS_BITS`` upper bits
-of its checksum: hashed contexts of no word, the word before and the two words before, across the whole text, predict them.
-Then the token within its class: its count in the training texts, smoothed by its spelling, whose bits (each byte's path in a
-Huffman tree, a blank at the end) are predicted by hashed contexts of the 2, 3 and 5 bytes before. Every context gives a logit
-from its counts of zeros and ones; the logits are mixed with weights chosen by a gate (how well the two longer contexts
-are known), and the mix is refined by an adaptive table over gate and logit. A text's score is the sum over its tokens in
-their order: log10 of P(class | words before) * P(token) / P(class); its total bits divided by its bytes are the bits per byte.
-
-Context tables are sums over all training texts, and over all their distinct tokens for the spelling. Weights and adaptive tables are
-trained online over the same rows, each bit without its own occurrence: rows are dealt by hash to shards of about
-``SHARD`` tokens, read in the order of their hashes, and the shards' results are averaged by their bits, so scores don't depend on
-the order of rows. Then they are frozen. Slots grow with the number of distinct training tokens, from ``SLOTS`` to
-``MOST_SLOTS``, the bound of a task's memory; contexts beyond them share slots, and the weights are trained with what that
-costs. The lexicon with its counts and spelling scores grows with the corpus and stays distributed: the ``HEAD`` most
-frequent tokens are broadcast, the others are joined.
+A text is its lower-cased words and one end. Every token is read as bits, and every bit is predicted by mixed hashed contexts. First
+the token's class, the ``CLASS_BITS`` upper bits of its checksum, then its path in the Huffman tree of its class, whose leaves are
+the ``HEAD`` most frequent training tokens and one escape: the contexts are no word, the word before and the two words before,
+across the whole text. An escaped token is spelled: the bits of its bytes (each byte's path in a Huffman tree, a blank at the
+end) are predicted by hashed contexts of the 2 and 3 bytes before and of all bytes of the word so far, whose counts are those of the
+training texts. Every context gives a logit from its counts of zeros and ones; the logits are mixed with weights chosen by a gate
+(how well the two longer contexts are known), and the mix is refined by an adaptive table over gate and logit. A text's score
+is the sum of the log10 probabilities of its bits; its total bits divided by its bytes are the bits per byte. The spelling of a
+token doesn't depend on the words before, so it is scored once for each distinct token.
+
+Context tables are sums over all training texts, and over their distinct tokens, by count, for the spelling (tokens with a path
+of their own count once there). Weights and adaptive tables are trained online over the same rows, each bit without its own
+occurrence: rows are dealt by hash to shards of about ``SHARD`` tokens, read in the order of their hashes, and the shards' results are
+averaged by their bits, so scores don't depend on the order of rows. Then they are frozen. Slots grow with the number of
+training tokens (for the spelling, of their distinct bytes), from ``SLOTS`` to ``MOST_SLOTS``, the bound of a task's memory;
+contexts beyond them share slots, and the weights are trained with what that costs. The lexicon with its counts and spelling
+scores grows with the corpus and stays distributed: the ``HEAD`` most frequent tokens are broadcast, the others are joined.
 
 Cases: null text is empty: its end alone is scored. Without training rows every context is unknown and every bit costs one
 bit; the base is zero counts (0 tokens, 0 distinct: log10(1/1)). Repeated rows give repeated result rows. Other columns are
@@ -50,9 +52,11 @@ BLOCK = 1 << 14
 #: Tokens of a training shard.
 SHARD = 1_000_000
 HEAD = 100_000
+#: Bytes of a distinct token, about.
+LETTERS = 8
 #: Tokens that a task holds at once to count them.
 COUNTED = 4_000_000
-#: Bits of a training step, tokens or words that the kernels read at once, and bytes that training reads at once.
+#: Bits of a training step, tokens or words that the kernels read at once, and bytes that training and scoring read at once.
 BATCH = 1 << 14
 _STEP = 1 << 13
 TRAIN_BYTES = 1 << 20
@@ -130,18 +134,50 @@ def keys(texts: list[list[bytes]]) -> np.ndarray:
 
 
 class Classes:
-    """The class bits of texts with the slots of their contexts."""
+    """The class bits of texts, and the bits of their words within the classes, with the slots of their contexts.
 
-    def __init__(self, slots: int):
-        self.widths = [1 << CLASS_BITS, slots, slots]
+    ``words`` are the words with a path of their own, with their counts; ``escapes`` count the others by class. A class's words and
+    its escape are the leaves of a Huffman tree below the class. Without ``words`` there are class bits alone.
+    """
+
+    def __init__(self, slots: int, words: dict[bytes, float] | None = None, escapes: list[float] | None = None):
+        classes, down = np.arange(1 << CLASS_BITS, dtype=np.uint32)[:, None], np.arange(CLASS_BITS, dtype=np.uint32)
+        upper = (classes | np.uint32(1 << CLASS_BITS)) >> (np.uint32(CLASS_BITS) - down)
+        values = ((classes >> (np.uint32(CLASS_BITS - 1) - down)) & np.uint32(1)).astype(np.uint8)
+        paths: dict[int, tuple[np.ndarray, np.ndarray]] = {k: (upper[k], values[k]) for k in range(1 << CLASS_BITS)}
+        self.words, inner = {}, 1 << CLASS_BITS
+        own: list[list[bytes]] = [[] for _ in paths]
+        for w in words or {}:
+            own[zlib.crc32(w) >> (32 - CLASS_BITS)].append(w)
+        for k, members in enumerate(own):
+            begin, nodes, bits = huffman([escapes[k] if escapes else 1, *[words[w] for w in members]])
+            for i, w in enumerate([None, *members]):
+                # leaf k is the escape of class k
+                leaf = k if w is None else self.words.setdefault(w, (1 << CLASS_BITS) + len(self.words))
+                a, b = begin[i], begin[i + 1]
+                paths[leaf] = np.concatenate([upper[k], nodes[a:b] + np.uint32(inner)]), np.concatenate([values[k], bits[a:b]])
+            inner += len(members)
+        order = [paths[leaf] for leaf in range(len(paths))]
+        self.code = np.concatenate([[0], np.cumsum([len(n) for n, _ in order])]), np.concatenate([n for n, _ in order]), np.concatenate([b for _, b in order])
+        self.step = _STEP // 4 if words else _STEP
+        self.widths = [inner, slots, slots]
         self.shift = np.uint32(33 - slots.bit_length())
 
+    def leaves(self, texts: list[list[bytes]], key: np.ndarray) -> np.ndarray:
+        """The leaf of each token, each text's end included: its own, or its class's escape."""
+        if not self.words:
+            return (key >> np.uint32(32 - CLASS_BITS)).astype(np.int64)
+        get = self.words.get
+        found = np.fromiter((get(w, -1) for t in texts for w in (*t, b"")), np.int64, len(key))
+        return np.where(found < 0, key >> np.uint32(32 - CLASS_BITS), found)
+
     def bits(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
         """Of the bits, some tokens at a time: their text, slots by context and value."""
         own = [tokens(t) for t in utf8(texts)]
-        yield from self.of(keys(own), np.array([len(t) + 1 for t in own]))
+        key = keys(own)
+        yield from self.of(key, np.array([len(t) + 1 for t in own]), self.leaves(own, key))
 
-    def of(self, key: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    def of(self, key: np.ndarray, sizes: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
         text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         inside = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         # a text's begin is no word
@@ -149,14 +185,11 @@ class Classes:
         one ^= one >> np.uint32(15)
         two = (one + _back(key, inside, 2) * _NODE + (inside > 1).astype(np.uint32)) * _MIX
         two ^= two >> np.uint32(13)
-        label, down = key >> np.uint32(32 - CLASS_BITS), np.arange(CLASS_BITS, dtype=np.uint32)
-        for a in range(0, len(key), _STEP):
-            own = label[a : a + _STEP, None]
-            node = (own | np.uint32(1 << CLASS_BITS)) >> (np.uint32(CLASS_BITS) - down)
-            value = ((own >> (np.uint32(CLASS_BITS - 1) - down)) & np.uint32(1)).astype(np.uint8).ravel()
+        for a in range(0, len(key), self.step):
+            place, node, value = _paths(self.code, leaf[a : a + self.step])
             mixed = node * _NODE
-            longer = [((((h[a : a + _STEP, None] ^ mixed) * _MIX) >> self.shift).astype(np.intp)).ravel() for h in (one, two)]
-            yield np.repeat(text[a : a + _STEP], CLASS_BITS), [node.astype(np.intp).ravel(), *longer], value
+            longer = [((((h[a : a + self.step][place] ^ mixed) * _MIX) >> self.shift).astype(np.intp)) for h in (one, two)]
+            yield text[a : a + self.step][place], [node.astype(np.intp), *longer], value
 
 
 class Spelling:
@@ -178,10 +211,15 @@ class Spelling:
             inside = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             place, node, value = _paths(self.code, x.astype(np.int64))
             h, found, y = np.full(len(x), 0x27D4EB2F, np.uint32), [], x.astype(np.uint32) + np.uint32(1)
-            for by in range(1, 6):
+            for by in range(1, 4):
                 h = h * _NODE + _back(y, inside, by)
-                if by in (2, 3, 5):
-                    found.append((h ^ (h >> np.uint32(15))) * _MIX)
+                if by > 1:
+                    found.append(h)
+            # all bytes of the word so far: a sum of bytes by the powers of their places
+            power = np.concatenate([np.ones(1, np.uint32), np.cumprod(np.full(int(sizes.max(initial=1)), _NODE), dtype=np.uint32)])
+            sums = np.concatenate([np.zeros(1, np.uint32), np.cumsum(y * power[inside], dtype=np.uint32)])
+            found.append((sums[:-1] - np.repeat(sums[np.cumsum(sizes) - sizes], sizes)) * _NODE + inside.astype(np.uint32))
+            found = [(h ^ (h >> np.uint32(15))) * _MIX for h in found]
             mixed = node * _NODE
             yield word[place], [(((h[place] ^ mixed) * _MIX) >> s).astype(np.intp) for h, s in zip(found, self.shifts, strict=True)], value
 
@@ -290,15 +328,16 @@ def lexicon(docs: DataFrame, folds: int, fold: int) -> DataFrame:
 
 
 def context_tables(rows: DataFrame, reader: Broadcast) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Zeros and ones of every slot by context over all rows (text)."""
-    widths = reader.value.widths
+    """Zeros and ones of every slot by context over all rows (text), as many times as their ``weight``, if they have one."""
+    widths, weighted = reader.value.widths, "weight" in rows.columns
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros(2 * w, np.uint32) for w in widths]
-        for batch in steps(batches, "text"):
-            for _, slots, value in reader.value.bits(batch.column("text")):
+        for batch in steps(batches, "text", TRAIN_BYTES):
+            weight = batch.column("weight").to_numpy().astype(np.uint32) if weighted else None
+            for owner, slots, value in reader.value.bits(batch.column("text")):
                 for k, s in enumerate(slots):
-                    np.add.at(sums[k], s * 2 + value, np.uint32(1))
+                    np.add.at(sums[k], s * 2 + value, weight[owner] if weighted else np.uint32(1))
         pack = zstandard.ZstdCompressor(1)
         for k, x in enumerate(sums):
             for b in range(0, len(x), BLOCK):
@@ -316,7 +355,7 @@ def context_tables(rows: DataFrame, reader: Broadcast) -> tuple[list[np.ndarray]
     out = [np.zeros(2 * w, np.float32 if k == 0 else np.uint16) for k, w in enumerate(widths)]
     schema = "context int, block int, sums binary"
     # each task holds one set of tables, so there are no more tasks than run at once
-    few = rows.select("text").coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    few = rows.select("text", *(["weight"] if weighted else [])).coalesce(rows.sparkSession.sparkContext.defaultParallelism)
     for r in few.mapInArrow(kernel, schema).groupBy("context", "block").applyInArrow(added, schema).toLocalIterator():
         own = np.frombuffer(r["sums"], "<f4" if r["context"] == 0 else "<u2")
         out[r["context"]][r["block"] : r["block"] + len(own)] = own
@@ -396,34 +435,50 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = HEAD) -> D
     size = lex.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v")).first()
     n, log_all = int(size["n"]), float(np.log10(int(size["n"]) + 1 * (int(size["v"]) + 1)))
     training = docs.where(~held_out("doc_id", folds, fold)).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    types, slots = max(1, int(size["v"])), slots_for(int(size["v"]))
-    spelling = context.broadcast(Spelling(_byte_sizes(lex), slots))
-    speller = context.broadcast(fit(lex.where("c > 0").select(F.col("word").alias("text")), types, spelling))
+    types = max(1, int(size["v"]))
+    top = {bytes(r["word"]): r["c"] for r in largest(lex.where("c > 0"), F.col("c"), head).collect()}
+    end = lex.where(F.octet_length("word") == 0).first()
+    top = dict(sorted(({b"": end["c"] if end else 0} | top).items()))
+    shared = context.broadcast(top)
+    own = np.zeros(1 << CLASS_BITS)
+    for w, c in top.items():
+        own[zlib.crc32(w) >> (32 - CLASS_BITS)] += c
+    sums = {r["label"]: r["c"] for r in lex.groupBy(_class("word").alias("label")).agg(F.sum("c").alias("c")).collect()}
+    others = [float(sums.get(k, 0) - own[k]) + types / len(own) for k in range(len(own))]
+    classes = context.broadcast(Classes(slots_for(n), {w: float(max(1, c)) for w, c in top.items()}, others))
+    mixer = context.broadcast(fit(training, n, classes))
+
+    # the spelling is that of words without a path: the others count once there
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, c = batch.column("word"), batch.column("c").to_numpy()
+            weight = np.where(np.fromiter((w in shared.value for w in words.to_pylist()), bool, len(words)), 1, c)
+            yield pa.RecordBatch.from_arrays([words, pa.array(weight)], names=["text", "weight"])
+
+    spelt = lex.where("c > 0").mapInArrow(weigh, "text binary, weight bigint")
+    spelling = context.broadcast(Spelling(_byte_sizes(lex), slots_for(LETTERS * types)))
+    speller = context.broadcast(fit(spelt, types, spelling))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "word"):
-            spelt = 10.0 ** speller.value.scores(spelling.value.bits(batch.column("word")), batch.num_rows)
-            p = (batch.column("c").to_numpy() + types * spelt) / (n + types)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(np.log10(np.maximum(p, 1e-300)))], names=["word", "c", "p"])
+            p = speller.value.scores(spelling.value.bits(batch.column("word")), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(p)], names=["word", "c", "p"])
 
-    rated = checkpointed(lex.mapInArrow(rate, "word binary, c bigint, p double"))
-    sums = {r["label"]: r["c"] for r in lex.groupBy(_class("word").alias("label")).agg(F.sum("c").alias("c")).collect()}
-    prior = np.log10((np.array([float(sums.get(k, 0)) for k in range(1 << CLASS_BITS)]) + types / (1 << CLASS_BITS)) / (n + types))
-    classes = context.broadcast(Classes(slots))
-    mixer = context.broadcast(fit(training, n, classes))
-    top = largest(rated.where("c > 0"), F.col("c"), head).collect()
-    shared = context.broadcast({bytes(r["word"]): (r["c"], r["p"]) for r in top} | {b"": _end(rated)})
+    # words with a path need no spelling
+    apart = lex.mapInArrow(lambda batches: (b.filter(pa.array([w not in shared.value for w in b.column("word").to_pylist()], pa.bool_())) for b in batches), "word binary, c bigint")
+    rated = checkpointed(apart.mapInArrow(rate, "word binary, c bigint, p double"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "digest", "word", "n", "tokens", "bytes", "known", "base", "score", "copies"]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = {w: k for k, w in enumerate(shared.value)}
-        counts = np.array([c for c, _ in shared.value.values()], np.float64)
-        p = np.array([q for _, q in shared.value.values()])
+        counts = np.array(list(shared.value.values()), np.float64)
         get, far = head.get, len(head)
         # by place in the head; the last place stands for all other words
-        logs, known, p = np.append(np.log10(counts + 1), 0.0), np.append(counts > 0, False), np.append(p, 0.0)
-        for batch in steps(batches, "text"):
+        logs, known = np.append(np.log10(counts + 1), 0.0), np.append(counts > 0, False)
+        # by place in the head, the leaf of its path
+        leaf = np.array([classes.value.words[w] for w in head] + [0])
+        for batch in steps(batches, "text", TRAIN_BYTES):
             ids, digests, n = batch.column("doc_id"), batch.column("digest").to_numpy(), batch.num_rows
             texts = [tokens(t) for t in utf8(batch.column("text"))]
             sizes = np.array([len(t) + 1 for t in texts])
@@ -431,8 +486,8 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = HEAD) -> D
             every = np.fromiter((get(w, far) for t in texts for w in (*t, b"")), np.int64, len(key))
             per = lambda x: np.add.reduceat(x.astype(np.longdouble)[every], begins).astype(float)
             used = np.array([sum(map(len, t)) for t in texts]) + sizes
-            scores = mixer.value.scores(classes.value.of(key, sizes), n)
-            scores -= np.add.reduceat(prior[(key >> np.uint32(32 - CLASS_BITS)).astype(np.intp)], begins)
+            at_leaf = np.where(every < far, leaf[every], key >> np.uint32(32 - CLASS_BITS))
+            scores = mixer.value.scores(classes.value.of(key, sizes, at_leaf), n)
             rest = Counter((k, w) for k, t in enumerate(texts) for w in t if w not in head)
             at, more = [k for k, _ in rest], len(rest)
             # the text's own row: a key that no word can be, spread over all partitions
@@ -447,7 +502,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = HEAD) -> D
                     ids.take(pa.array(both)), pa.array(digests[both]), pa.array(own + [w for _, w in rest], pa.binary()),
                     pa.array(np.concatenate([np.zeros(n, np.int64), np.fromiter(rest.values(), np.int64, more)])),
                     column(sizes, pa.int64()), column(used, pa.int64()), column(np.rint(per(known)).astype(np.int64), pa.int64()),
-                    column(per(logs), pa.float64()), column(per(p) + scores, pa.float64()), column(np.ones(n, np.int64), pa.int64()),
+                    column(per(logs), pa.float64()), column(scores, pa.float64()), column(np.ones(n, np.int64), pa.int64()),
                 ],
                 names=names,
             )
@@ -496,8 +551,3 @@ def _byte_sizes(lex: DataFrame) -> np.ndarray:
     for r in lex.where("c > 0").select("word").mapInArrow(kernel, "byte bigint, n bigint").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         out[r["byte"]] = r["n"]
     return out
-
-
-def _end(rated: DataFrame) -> tuple[int, float]:
-    row = rated.where(F.octet_length("word") == 0).first()
-    return (row["c"], row["p"]) if row else (0, 0.0)
