@@ -28,6 +28,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -128,11 +129,6 @@ def _back(x: np.ndarray, inside: np.ndarray, by: int) -> np.ndarray:
     return np.where(inside >= by, np.concatenate([np.zeros(by, x.dtype), x[:-by]])[: len(x)], 0).astype(np.uint32)
 
 
-def keys(texts: list[list[bytes]]) -> np.ndarray:
-    """Checksums of the tokens of some texts, each text's end (0) included."""
-    return np.fromiter((zlib.crc32(w) for t in texts for w in (*t, b"")), np.uint32, sum(map(len, texts)) + len(texts))
-
-
 class Classes:
     """The class bits of texts, and the bits of their words within the classes, with the slots of their contexts.
 
@@ -159,23 +155,26 @@ class Classes:
             inner += len(members)
         order = [paths[leaf] for leaf in range(len(paths))]
         self.code = np.concatenate([[0], np.cumsum([len(n) for n, _ in order])]), np.concatenate([n for n, _ in order]), np.concatenate([b for _, b in order])
+        self.sums = np.array([0] * len(own) + [zlib.crc32(w) for w in self.words], np.uint32)
         self.step = _STEP // 4 if words else _STEP
         self.widths = [inner, slots, slots]
         self.shift = np.uint32(33 - slots.bit_length())
 
-    def leaves(self, texts: list[list[bytes]], key: np.ndarray) -> np.ndarray:
-        """The leaf of each token, each text's end included: its own, or its class's escape."""
-        if not self.words:
-            return (key >> np.uint32(32 - CLASS_BITS)).astype(np.int64)
-        get = self.words.get
-        found = np.fromiter((get(w, -1) for t in texts for w in (*t, b"")), np.int64, len(key))
-        return np.where(found < 0, key >> np.uint32(32 - CLASS_BITS), found)
+    def read(self, texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of some texts one after the other, each text's end included, their checksums and leaves, and the places of the escaped ones."""
+        flat = list(chain.from_iterable(chain(t, (b"",)) for t in texts))
+        leaf = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
+        far = np.flatnonzero(leaf < 0)
+        key = self.sums[leaf]
+        key[far] = np.fromiter((zlib.crc32(flat[k]) for k in far.tolist()), np.uint32, len(far))
+        leaf[far] = key[far] >> np.uint32(32 - CLASS_BITS)
+        return flat, key, leaf, far
 
     def bits(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
         """Of the bits, some tokens at a time: their text, slots by context and value."""
         own = [tokens(t) for t in utf8(texts)]
-        key = keys(own)
-        yield from self.of(key, np.array([len(t) + 1 for t in own]), self.leaves(own, key))
+        _, key, leaf, _ = self.read(own)
+        yield from self.of(key, np.array([len(t) + 1 for t in own]), leaf)
 
     def of(self, key: np.ndarray, sizes: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
         text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
@@ -439,20 +438,20 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = HEAD) -> D
     top = {bytes(r["word"]): r["c"] for r in largest(lex.where("c > 0"), F.col("c"), head).collect()}
     end = lex.where(F.octet_length("word") == 0).first()
     top = dict(sorted(({b"": end["c"] if end else 0} | top).items()))
-    shared = context.broadcast(top)
     own = np.zeros(1 << CLASS_BITS)
     for w, c in top.items():
         own[zlib.crc32(w) >> (32 - CLASS_BITS)] += c
     sums = {r["label"]: r["c"] for r in lex.groupBy(_class("word").alias("label")).agg(F.sum("c").alias("c")).collect()}
     others = [float(sums.get(k, 0) - own[k]) + types / len(own) for k in range(len(own))]
-    classes = context.broadcast(Classes(slots_for(n), {w: float(max(1, c)) for w, c in top.items()}, others))
+    paths = Classes(slots_for(n), {w: float(max(1, c)) for w, c in top.items()}, others)
+    classes, counts = context.broadcast(paths), context.broadcast(np.array([0] * len(own) + [top[w] for w in paths.words], np.float64))
     mixer = context.broadcast(fit(training, n, classes))
 
     # the spelling is that of words without a path: the others count once there
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, c = batch.column("word"), batch.column("c").to_numpy()
-            weight = np.where(np.fromiter((w in shared.value for w in words.to_pylist()), bool, len(words)), 1, c)
+            weight = np.where(np.fromiter((w in classes.value.words for w in words.to_pylist()), bool, len(words)), 1, c)
             yield pa.RecordBatch.from_arrays([words, pa.array(weight)], names=["text", "weight"])
 
     spelt = lex.where("c > 0").mapInArrow(weigh, "text binary, weight bigint")
@@ -465,30 +464,24 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = HEAD) -> D
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(p)], names=["word", "c", "p"])
 
     # words with a path need no spelling
-    apart = lex.mapInArrow(lambda batches: (b.filter(pa.array([w not in shared.value for w in b.column("word").to_pylist()], pa.bool_())) for b in batches), "word binary, c bigint")
+    apart = lex.mapInArrow(lambda batches: (b.filter(pa.array([w not in classes.value.words for w in b.column("word").to_pylist()], pa.bool_())) for b in batches), "word binary, c bigint")
     rated = checkpointed(apart.mapInArrow(rate, "word binary, c bigint, p double"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "digest", "word", "n", "tokens", "bytes", "known", "base", "score", "copies"]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = {w: k for k, w in enumerate(shared.value)}
-        counts = np.array(list(shared.value.values()), np.float64)
-        get, far = head.get, len(head)
-        # by place in the head; the last place stands for all other words
-        logs, known = np.append(np.log10(counts + 1), 0.0), np.append(counts > 0, False)
-        # by place in the head, the leaf of its path
-        leaf = np.array([classes.value.words[w] for w in head] + [0])
+        # by leaf; an escape stands for other words
+        logs, known = np.log10(counts.value + 1), counts.value > 0
         for batch in steps(batches, "text", TRAIN_BYTES):
             ids, digests, n = batch.column("doc_id"), batch.column("digest").to_numpy(), batch.num_rows
             texts = [tokens(t) for t in utf8(batch.column("text"))]
             sizes = np.array([len(t) + 1 for t in texts])
-            begins, key = np.cumsum(sizes) - sizes, keys(texts)
-            every = np.fromiter((get(w, far) for t in texts for w in (*t, b"")), np.int64, len(key))
-            per = lambda x: np.add.reduceat(x.astype(np.longdouble)[every], begins).astype(float)
-            used = np.array([sum(map(len, t)) for t in texts]) + sizes
-            at_leaf = np.where(every < far, leaf[every], key >> np.uint32(32 - CLASS_BITS))
-            scores = mixer.value.scores(classes.value.of(key, sizes, at_leaf), n)
-            rest = Counter((k, w) for k, t in enumerate(texts) for w in t if w not in head)
+            begins = np.cumsum(sizes) - sizes
+            flat, key, leaf, far = classes.value.read(texts)
+            per = lambda x: np.add.reduceat(x.astype(np.longdouble)[leaf], begins).astype(float)
+            used = np.add.reduceat(np.fromiter(map(len, flat), np.int64, len(flat)), begins) + sizes
+            scores = mixer.value.scores(classes.value.of(key, sizes, leaf), n)
+            rest = Counter(zip((np.searchsorted(begins, far, "right") - 1).tolist(), [flat[k] for k in far.tolist()], strict=True))
             at, more = [k for k, _ in rest], len(rest)
             # the text's own row: a key that no word can be, spread over all partitions
             own = [b" %d" % d for d in digests.tolist()]

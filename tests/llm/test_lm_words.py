@@ -32,7 +32,7 @@ def test_paths_are_a_distribution(spark):
         share.setdefault(node, (node * 37 % 97 + 1) / 99)  # any share of ones at each node
     assert sum(np.prod([share[n] if b else 1 - share[n] for n, b in p]) for p in paths) == pytest.approx(1.0)
     texts = pa.array(["w1 w2", None, "other w7"])
-    sizes = [len(paths[leaf]) for t in ([b"w1", b"w2"], [], [b"other", b"w7"]) for leaf in reader.leaves([t], lm.keys([t]))]
+    sizes = [len(paths[leaf]) for leaf in reader.read([[b"w1", b"w2"], [], [b"other", b"w7"]])[2]]
     assert sum(len(v) for _, _, v in reader.bits(texts)) == sum(sizes)
 
 
