@@ -25,6 +25,7 @@ ignored.
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -116,12 +117,22 @@ def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _paths(code: tuple[np.ndarray, np.ndarray, np.ndarray], leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the paths of all leaves, one after the other: the leaf's place, the node and the bit."""
+    """The lengths of the paths of all leaves, and the nodes and bits of the paths, one after the other."""
     begin, nodes, bits = code
-    sizes = begin[leaves + 1] - begin[leaves]
-    place = np.repeat(np.arange(len(leaves), dtype=np.int32), sizes)
-    at = np.arange(len(place)) + np.repeat(begin[leaves] - (np.cumsum(sizes) - sizes), sizes)
-    return place, nodes[at], bits[at]
+    first = begin.take(leaves)
+    sizes = begin.take(leaves + 1) - first
+    at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return sizes, nodes.take(at), bits.take(at)
+
+
+def _slots(h: np.ndarray, sizes: np.ndarray, mixed: np.ndarray, shift: np.uint32) -> np.ndarray:
+    """Of the bits of all paths, the slots of a context that is hashed by leaf: ``mixed`` tells a path's nodes apart."""
+    x = np.repeat(h, sizes)
+    x ^= mixed
+    x *= _MIX
+    x >>= shift
+    return x.astype(np.intp)
 
 
 def _back(x: np.ndarray, inside: np.ndarray, by: int) -> np.ndarray:
@@ -156,6 +167,7 @@ class Classes:
         order = [paths[leaf] for leaf in range(len(paths))]
         self.code = np.concatenate([[0], np.cumsum([len(n) for n, _ in order])]), np.concatenate([n for n, _ in order]), np.concatenate([b for _, b in order])
         self.sums = np.array([0] * len(own) + [zlib.crc32(w) for w in self.words], np.uint32)
+        self.known = pa.array(list(self.words), pa.binary())
         self.step = _STEP // 4 if words else _STEP
         self.widths = [inner, slots, slots]
         self.shift = np.uint32(33 - slots.bit_length())
@@ -172,9 +184,31 @@ class Classes:
 
     def bits(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
         """Of the bits, some tokens at a time: their text, slots by context and value."""
-        own = [tokens(t) for t in utf8(texts)]
-        _, key, leaf, _ = self.read(own)
-        yield from self.of(key, np.array([len(t) + 1 for t in own]), leaf)
+        _, _, key, sizes, leaf, _ = self.read_column(texts)
+        yield from self.of(key, sizes, leaf)
+
+    def read_column(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """As ``read``, over a column: the words, the places of the escaped tokens, checksums, texts' sizes, leaves, and the escaped tokens.
+
+        Words are looked up by one hash join with those that have a path, not one by one.
+        """
+        words, own = words_of(texts)
+        words = words.cast(pa.binary())
+        sizes = own + 1
+        end = np.cumsum(sizes) - 1
+        inner = np.ones(len(words) + len(sizes), bool)
+        inner[end] = False
+        leaf = np.full(len(inner), self.words.get(b"", -1), np.int64)
+        found = pc.fill_null(pc.index_in(words, value_set=self.known), -1 - (1 << CLASS_BITS)).to_numpy().astype(np.int64)
+        found += 1 << CLASS_BITS
+        leaf[inner] = found
+        far = np.flatnonzero(leaf < 0)
+        key = self.sums.take(leaf, mode="clip")
+        place = np.cumsum(inner) - 1
+        spelt = [w if i else b"" for w, i in zip(words.take(pa.array(place[far])).to_pylist(), inner[far].tolist(), strict=True)] if len(words) else [b""] * len(far)
+        key[far] = np.fromiter(map(zlib.crc32, spelt), np.uint32, len(far))
+        leaf[far] = key[far] >> np.uint32(32 - CLASS_BITS)
+        return words, far, key, sizes, leaf, spelt
 
     def of(self, key: np.ndarray, sizes: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
         text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
@@ -185,10 +219,10 @@ class Classes:
         two = (one + _back(key, inside, 2) * _NODE + (inside > 1).astype(np.uint32)) * _MIX
         two ^= two >> np.uint32(13)
         for a in range(0, len(key), self.step):
-            place, node, value = _paths(self.code, leaf[a : a + self.step])
+            n, node, value = _paths(self.code, leaf[a : a + self.step])
             mixed = node * _NODE
-            longer = [((((h[a : a + self.step][place] ^ mixed) * _MIX) >> self.shift).astype(np.intp)) for h in (one, two)]
-            yield text[a : a + self.step][place], [node.astype(np.intp), *longer], value
+            longer = [_slots(h[a : a + self.step], n, mixed, self.shift) for h in (one, two)]
+            yield np.repeat(text[a : a + self.step], n), [node.astype(np.intp), *longer], value
 
 
 class Spelling:
@@ -208,7 +242,7 @@ class Spelling:
             sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
             word = np.repeat(np.arange(a, a + len(words), dtype=np.int32), sizes)
             inside = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            place, node, value = _paths(self.code, x.astype(np.int64))
+            n, node, value = _paths(self.code, x.astype(np.int64))
             h, found, y = np.full(len(x), 0x27D4EB2F, np.uint32), [], x.astype(np.uint32) + np.uint32(1)
             for by in range(1, 4):
                 h = h * _NODE + _back(y, inside, by)
@@ -220,7 +254,7 @@ class Spelling:
             found.append((sums[:-1] - np.repeat(sums[np.cumsum(sizes) - sizes], sizes)) * _NODE + inside.astype(np.uint32))
             found = [(h ^ (h >> np.uint32(15))) * _MIX for h in found]
             mixed = node * _NODE
-            yield word[place], [(((h[place] ^ mixed) * _MIX) >> s).astype(np.intp) for h, s in zip(found, self.shifts, strict=True)], value
+            yield np.repeat(word, n), [_slots(h, n, mixed, s) for h, s in zip(found, self.shifts, strict=True)], value
 
 
 def states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -253,16 +287,26 @@ class Mixer:
 
     def _inputs(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         """Logits by context, and gates."""
-        own = [t[s] for t, s in zip(self.states, slots, strict=True)]
+        own = [t.take(s) for t, s in zip(self.states, slots, strict=True)]
         gate = ((own[1] & np.int16(3)) << np.int16(2)) | (own[2] & np.int16(3))
         return [(q >> np.int16(2)) * np.float32(1 / _STEPS) for q in own], gate.astype(np.intp)
 
     def _mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        return sum(self.weights[k][gate] * x[k] for k in range(CONTEXTS))
+        out = self.weights[0].take(gate)
+        out *= x[0]
+        for k in range(1, CONTEXTS):
+            own = self.weights[k].take(gate)
+            own *= x[k]
+            out += own
+        return out
 
     def _cells(self, mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """The cell of the adaptive table for each bit: the logit to the nearest step, by gate."""
-        return ((np.clip(mixed, -8, 8) + np.float32(8)) * np.float32((_CELLS - 1) / 16) + np.float32(0.5)).astype(np.intp) + gate * _CELLS
+        x = np.minimum(np.maximum(mixed, np.float32(-8)), np.float32(8))
+        x += np.float32(8)
+        x *= np.float32((_CELLS - 1) / 16)
+        x += np.float32(0.5)
+        return x.astype(np.intp) + gate * _CELLS
 
     def train(self, slots: list[np.ndarray], value: np.ndarray) -> None:
         """Go on over some bits: weights by the gradient, the table towards the outcomes."""
@@ -272,13 +316,13 @@ class Mixer:
             x, g, y = [c[s : s + BATCH] for c in inputs], gates[s : s + BATCH], value[s : s + BATCH]
             mixed = self._mixed(x, g)
             wrong = y - 1 / (1 + np.exp(-mixed))
-            size = np.bincount(g, minlength=_GATES)
+            seen, ones = np.bincount(self._cells(mixed, g) * 2 + y, minlength=2 * len(flat)).reshape(-1, 2).T
+            seen = seen + ones
+            size = seen.reshape(_GATES, _CELLS).sum(axis=1)
             slope = np.stack([np.bincount(g, wrong * c, _GATES) for c in x]) / np.maximum(size, 1)
             slope *= np.minimum(1, size / 256)  # a gate with few bits in the step moves little
             self.squares += slope * slope
             self.weights += (RATE * slope / np.sqrt(self.squares)).astype(np.float32)
-            cell = self._cells(mixed, g)
-            seen, ones = np.bincount(cell, minlength=len(flat)), np.bincount(cell, y, len(flat))
             # a cell moves towards the batch's outcomes by their number, never past them
             flat += ((ones - seen * flat) / (seen + 50)).astype(np.float32)
 
@@ -286,7 +330,7 @@ class Mixer:
         """The bits' log10 probabilities; those of a bit's two values add up to 1, and none is 0."""
         x, gate = self._inputs(slots)
         logs = np.log10(np.stack([1 - self.table.ravel(), self.table.ravel()], axis=1)).ravel()
-        return logs[self._cells(self._mixed(x, gate), gate) * 2 + value]
+        return logs.take(self._cells(self._mixed(x, gate), gate) * 2 + value)
 
     def scores(self, bits: Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]], rows: int) -> np.ndarray:
         """log10 probability of each row's bits."""
@@ -321,6 +365,8 @@ def lexicon(docs: DataFrame, folds: int, fold: int) -> DataFrame:
         for side in (False, True):
             if held[side]:
                 yield from out(held[side], not side)
+        held.clear()
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     rows = docs.select(F.col("text").cast("string").alias("text"), held_out("doc_id", folds, fold).alias("held"))
     return rows.mapInArrow(kernel, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
@@ -361,19 +407,19 @@ def context_tables(rows: DataFrame, reader: Broadcast) -> tuple[list[np.ndarray]
     return [x[::2].copy() for x in out], [x[1::2].copy() for x in out]
 
 
-def largest(df: DataFrame, value: Column, most: int) -> DataFrame:
-    """Rows with the largest positive values, ``most`` at the most: cut at a step of a logarithmic histogram.
+def among_largest(df: DataFrame, value: Column, most: int) -> Column:
+    """Whether a row is among those with the largest positive values, ``most`` at the most: cut at a step of a logarithmic histogram.
 
     The histogram has a row for each of a few thousand steps, so the cut needs no sort and no row of the data on the driver.
     """
     step = F.floor(F.log2(value) * 64).cast("int")
     cut, total = None, 0
-    for r in df.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+    for r in df.where(value > 0).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
         total += r["n"]
         if total > most:
             break
         cut = r["step"]
-    return df.where(step >= cut) if cut is not None else df.limit(0)
+    return (value > 0) & (step >= cut) if cut is not None else F.lit(False)
 
 
 def slots_for(vocabulary: int) -> int:
@@ -385,7 +431,9 @@ def fit(rows: DataFrame, n: int, reader: Broadcast, shard: int = SHARD) -> Mixer
     """Tables, weights and adaptive table over the bits that the broadcast ``reader`` finds in all rows (text), of ``n`` tokens."""
     tables = context_tables(rows, reader)
     mixer = Mixer(*tables)
-    counts = rows.sparkSession.sparkContext.broadcast(tables)
+    # states are made once here, not in every task
+    learner = rows.sparkSession.sparkContext.broadcast(Mixer(*tables, training=True))
+    del tables
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(own: Mixer, k: int, bits: int) -> pa.RecordBatch:
@@ -402,7 +450,9 @@ def fit(rows: DataFrame, n: int, reader: Broadcast, shard: int = SHARD) -> Mixer
         own, at, bits, held, size = None, None, 0, [], 0
         for batch in steps(batches, "text"):
             for k, t in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own, at = own or Mixer(*counts.value, training=True), k if at is None else at
+                if own is None:
+                    own, at = copy.copy(learner.value), k
+                    own.reset()
                 if held and (k != at or size > TRAIN_BYTES):
                     bits, held, size = bits + learn(held), [], 0
                 if k != at:
@@ -423,7 +473,7 @@ def fit(rows: DataFrame, n: int, reader: Broadcast, shard: int = SHARD) -> Mixer
         learnt = np.average([np.frombuffer(r["learnt"]) for r in found], axis=0, weights=[r["bits"] for r in found]).astype(np.float32)
         mixer.weights = learnt[: mixer.weights.size].reshape(mixer.weights.shape)
         mixer.table = np.clip(learnt[mixer.weights.size :].reshape(mixer.table.shape), 1e-5, 1 - 1e-5)
-    counts.unpersist()
+    learner.unpersist()
     return mixer
 
 
@@ -435,7 +485,8 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = HEAD) -> D
     n, log_all = int(size["n"]), float(np.log10(int(size["n"]) + 1 * (int(size["v"]) + 1)))
     training = docs.where(~held_out("doc_id", folds, fold)).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     types = max(1, int(size["v"]))
-    top = {bytes(r["word"]): r["c"] for r in largest(lex.where("c > 0"), F.col("c"), head).collect()}
+    frequent = among_largest(lex, F.col("c"), head)
+    top = {bytes(r["word"]): r["c"] for r in lex.where(frequent).collect()}
     end = lex.where(F.octet_length("word") == 0).first()
     top = dict(sorted(({b"": end["c"] if end else 0} | top).items()))
     own = np.zeros(1 << CLASS_BITS)
@@ -448,13 +499,8 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = HEAD) -> D
     mixer = context.broadcast(fit(training, n, classes))
 
     # the spelling is that of words without a path: the others count once there
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, c = batch.column("word"), batch.column("c").to_numpy()
-            weight = np.where(np.fromiter((w in classes.value.words for w in words.to_pylist()), bool, len(words)), 1, c)
-            yield pa.RecordBatch.from_arrays([words, pa.array(weight)], names=["text", "weight"])
-
-    spelt = lex.where("c > 0").mapInArrow(weigh, "text binary, weight bigint")
+    own_path = frequent | (F.octet_length("word") == 0)
+    spelt = lex.where("c > 0").select(F.col("word").alias("text"), F.when(own_path, 1).otherwise(F.col("c")).cast("long").alias("weight"))
     spelling = context.broadcast(Spelling(_byte_sizes(lex), slots_for(LETTERS * types)))
     speller = context.broadcast(fit(spelt, types, spelling))
 
@@ -464,24 +510,22 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = HEAD) -> D
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(p)], names=["word", "c", "p"])
 
     # words with a path need no spelling
-    apart = lex.mapInArrow(lambda batches: (b.filter(pa.array([w not in classes.value.words for w in b.column("word").to_pylist()], pa.bool_())) for b in batches), "word binary, c bigint")
-    rated = checkpointed(apart.mapInArrow(rate, "word binary, c bigint, p double"))
+    rated = checkpointed(lex.where(~own_path).mapInArrow(rate, "word binary, c bigint, p double"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "digest", "word", "n", "tokens", "bytes", "known", "base", "score", "copies"]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # by leaf; an escape stands for other words
-        logs, known = np.log10(counts.value + 1), counts.value > 0
+        logs, known = np.log10(counts.value + 1).astype(np.longdouble), (counts.value > 0).astype(np.int64)
         for batch in steps(batches, "text", TRAIN_BYTES):
             ids, digests, n = batch.column("doc_id"), batch.column("digest").to_numpy(), batch.num_rows
-            texts = [tokens(t) for t in utf8(batch.column("text"))]
-            sizes = np.array([len(t) + 1 for t in texts])
+            words, far, key, sizes, leaf, spelt = classes.value.read_column(batch.column("text"))
             begins = np.cumsum(sizes) - sizes
-            flat, key, leaf, far = classes.value.read(texts)
-            per = lambda x: np.add.reduceat(x.astype(np.longdouble)[leaf], begins).astype(float)
-            used = np.add.reduceat(np.fromiter(map(len, flat), np.int64, len(flat)), begins) + sizes
+            per = lambda x: np.add.reduceat(x.take(leaf), begins)
+            letters = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy())])
+            used = np.diff(letters[np.concatenate([[0], np.cumsum(sizes - 1)])]) + sizes
             scores = mixer.value.scores(classes.value.of(key, sizes, leaf), n)
-            rest = Counter(zip((np.searchsorted(begins, far, "right") - 1).tolist(), [flat[k] for k in far.tolist()], strict=True))
+            rest = Counter(zip((np.searchsorted(begins, far, "right") - 1).tolist(), spelt, strict=True))
             at, more = [k for k, _ in rest], len(rest)
             # the text's own row: a key that no word can be, spread over all partitions
             own = [b" %d" % d for d in digests.tolist()]
@@ -494,8 +538,8 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = HEAD) -> D
                 [
                     ids.take(pa.array(both)), pa.array(digests[both]), pa.array(own + [w for _, w in rest], pa.binary()),
                     pa.array(np.concatenate([np.zeros(n, np.int64), np.fromiter(rest.values(), np.int64, more)])),
-                    column(sizes, pa.int64()), column(used, pa.int64()), column(np.rint(per(known)).astype(np.int64), pa.int64()),
-                    column(per(logs), pa.float64()), column(scores, pa.float64()), column(np.ones(n, np.int64), pa.int64()),
+                    column(sizes, pa.int64()), column(used, pa.int64()), column(per(known), pa.int64()),
+                    column(per(logs).astype(float), pa.float64()), column(scores, pa.float64()), column(np.ones(n, np.int64), pa.int64()),
                 ],
                 names=names,
             )

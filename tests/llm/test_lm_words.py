@@ -41,3 +41,21 @@ def test_tables_count_rows_by_weight(spark):
     once = lm.context_tables(spark.createDataFrame([("abc",), ("abc",), ("abc",), ("b",)], "text string"), reader)
     same = lm.context_tables(spark.createDataFrame([("abc", 3), ("b", 1)], "text string, weight long"), reader)
     assert all((a == b).all() for x, y in zip(once, same, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_columns_are_read_as_rows_are():
+    texts = ["w1 w2", None, "", " \t\n", "Other\x0bW7 äÄ w1", "x\x1cy  w299\r\nw1 "]
+    for words in (None, {b"w%d" % k: 1.0 for k in range(300)} | {b"": 5.0}):
+        reader = lm.Classes(lm.SLOTS, words, [3.0] * (1 << lm.CLASS_BITS))
+        flat, key, leaf, far = reader.read([lm.tokens((t or "").encode()) for t in texts])
+        got = reader.read_column(pa.array(texts))
+        assert got[0].to_pylist() == [w for w in flat if w] and got[3].tolist() == [len(lm.tokens((t or "").encode())) + 1 for t in texts]
+        assert (got[1] == far).all() and (got[2] == key).all() and (got[4] == leaf).all() and got[5] == [flat[k] for k in far]
+
+
+def test_one_worker_a_task_reads_the_lexicon(spark, monkeypatch):
+    """Words with a path are told from the others by their counts, not by one more Python step before the spelling."""
+    plans, keep = [], lm.checkpointed
+    monkeypatch.setattr(lm, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    docs = spark.createDataFrame([(k, f"a b c{k % 5} d{k}") for k in range(50)], "doc_id long, text string")
+    assert lm.score(docs).count() == 50 and [p.count("MapInArrow") for p in plans] == [1, 1]
