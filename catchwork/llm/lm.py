@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import copy
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -116,14 +115,19 @@ def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.searchsorted(leaf[by], np.arange(n + 1)), node[by].astype(np.uint32), bit[by]
 
 
-def _paths(code: tuple[np.ndarray, np.ndarray, np.ndarray], leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined(code: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Nodes and bits of all paths in one array, to be looked up together."""
+    return code[1].astype(np.uint32) << np.uint32(1) | code[2]
+
+
+def _paths(begin: np.ndarray, joined: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The lengths of the paths of all leaves, and the nodes and bits of the paths, one after the other."""
-    begin, nodes, bits = code
     first = begin.take(leaves)
     sizes = begin.take(leaves + 1) - first
     at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
     at += np.arange(len(at))
-    return sizes, nodes.take(at), bits.take(at)
+    step = joined.take(at)
+    return sizes, step >> np.uint32(1), (step & np.uint32(1)).astype(np.uint8)
 
 
 def _slots(h: np.ndarray, sizes: np.ndarray, mixed: np.ndarray, shift: np.uint32) -> np.ndarray:
@@ -166,6 +170,7 @@ class Classes:
             inner += len(members)
         order = [paths[leaf] for leaf in range(len(paths))]
         self.code = np.concatenate([[0], np.cumsum([len(n) for n, _ in order])]), np.concatenate([n for n, _ in order]), np.concatenate([b for _, b in order])
+        self.joined = _joined(self.code)
         self.sums = np.array([0] * len(own) + [zlib.crc32(w) for w in self.words], np.uint32)
         self.known = pa.array(list(self.words), pa.binary())
         self.step = _STEP // 4 if words else _STEP
@@ -182,12 +187,14 @@ class Classes:
         leaf[far] = key[far] >> np.uint32(32 - CLASS_BITS)
         return flat, key, leaf, far
 
-    def bits(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
-        """Of the bits, some tokens at a time: their text, slots by context and value."""
+    def bits(self, texts: pa.Array, leaves: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+        """Of the bits, some tokens at a time: their text, slots by context and value. ``leaves``: what the leaves are counted in, too."""
         _, _, key, sizes, leaf, _ = self.read_column(texts)
+        if leaves is not None:
+            leaves += np.bincount(leaf, minlength=len(leaves))
         yield from self.of(key, sizes, leaf)
 
-    def read_column(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    def read_column(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """As ``read``, over a column: the words, the places of the escaped tokens, checksums, texts' sizes, leaves, and the escaped tokens.
 
         Words are looked up by one hash join with those that have a path, not one by one.
@@ -204,9 +211,14 @@ class Classes:
         leaf[inner] = found
         far = np.flatnonzero(leaf < 0)
         key = self.sums.take(leaf, mode="clip")
-        place = np.cumsum(inner) - 1
-        spelt = [w if i else b"" for w, i in zip(words.take(pa.array(place[far])).to_pylist(), inner[far].tolist(), strict=True)] if len(words) else [b""] * len(far)
-        key[far] = np.fromiter(map(zlib.crc32, spelt), np.uint32, len(far))
+        ends = ~inner[far]
+        if ends.all():
+            spelt = pa.array([b""] * len(far), pa.binary())
+        else:
+            # so many ends stand before a token
+            spelt = words.take(pa.array(np.where(ends, 0, far - np.searchsorted(end, far))))
+            spelt = pc.if_else(pa.array(~ends), spelt, b"") if ends.any() else spelt
+        key[far] = np.fromiter(map(zlib.crc32, spelt.to_pylist()), np.uint32, len(far))
         leaf[far] = key[far] >> np.uint32(32 - CLASS_BITS)
         return words, far, key, sizes, leaf, spelt
 
@@ -219,7 +231,7 @@ class Classes:
         two = (one + _back(key, inside, 2) * _NODE + (inside > 1).astype(np.uint32)) * _MIX
         two ^= two >> np.uint32(13)
         for a in range(0, len(key), self.step):
-            n, node, value = _paths(self.code, leaf[a : a + self.step])
+            n, node, value = _paths(self.code[0], self.joined, leaf[a : a + self.step])
             mixed = node * _NODE
             longer = [_slots(h[a : a + self.step], n, mixed, self.shift) for h in (one, two)]
             yield np.repeat(text[a : a + self.step], n), [node.astype(np.intp), *longer], value
@@ -230,6 +242,7 @@ class Spelling:
 
     def __init__(self, sizes: np.ndarray, slots: int):
         self.code = huffman((sizes + 1).tolist())
+        self.joined = _joined(self.code)
         self.widths = [FIRST_SLOTS, slots, slots]
         self.shifts = [np.uint32(33 - w.bit_length()) for w in self.widths]
 
@@ -242,7 +255,7 @@ class Spelling:
             sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
             word = np.repeat(np.arange(a, a + len(words), dtype=np.int32), sizes)
             inside = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            n, node, value = _paths(self.code, x.astype(np.int64))
+            n, node, value = _paths(self.code[0], self.joined, x.astype(np.int64))
             h, found, y = np.full(len(x), 0x27D4EB2F, np.uint32), [], x.astype(np.uint32) + np.uint32(1)
             for by in range(1, 4):
                 h = h * _NODE + _back(y, inside, by)
@@ -378,11 +391,15 @@ def context_tables(rows: DataFrame, reader: Broadcast) -> tuple[list[np.ndarray]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros(2 * w, np.uint32) for w in widths]
+        # the context of no word: nodes are met as often as the leaves below them
+        alone = [np.zeros(len(reader.value.code[0]) - 1, np.int64)] if isinstance(reader.value, Classes) and not weighted else []
         for batch in steps(batches, "text", TRAIN_BYTES):
             weight = batch.column("weight").to_numpy().astype(np.uint32) if weighted else None
-            for owner, slots, value in reader.value.bits(batch.column("text")):
-                for k, s in enumerate(slots):
-                    np.add.at(sums[k], s * 2 + value, weight[owner] if weighted else np.uint32(1))
+            for owner, slots, value in reader.value.bits(batch.column("text"), *alone):
+                for k in range(len(alone), CONTEXTS):
+                    np.add.at(sums[k], slots[k] * 2 + value, weight[owner] if weighted else np.uint32(1))
+        for leaves in alone:
+            sums[0] += np.bincount(reader.value.joined, np.repeat(leaves, np.diff(reader.value.code[0])), len(sums[0])).astype(np.uint32)
         pack = zstandard.ZstdCompressor(1)
         for k, x in enumerate(sums):
             for b in range(0, len(x), BLOCK):
@@ -499,8 +516,8 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = HEAD) -> D
     mixer = context.broadcast(fit(training, n, classes))
 
     # the spelling is that of words without a path: the others count once there
-    own_path = frequent | (F.octet_length("word") == 0)
-    spelt = lex.where("c > 0").select(F.col("word").alias("text"), F.when(own_path, 1).otherwise(F.col("c")).cast("long").alias("weight"))
+    with_path = frequent | (F.octet_length("word") == 0)
+    spelt = lex.where("c > 0").select(F.col("word").alias("text"), F.when(with_path, 1).otherwise(F.col("c")).cast("long").alias("weight"))
     spelling = context.broadcast(Spelling(_byte_sizes(lex), slots_for(LETTERS * types)))
     speller = context.broadcast(fit(spelt, types, spelling))
 
@@ -510,9 +527,9 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = HEAD) -> D
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(p)], names=["word", "c", "p"])
 
     # words with a path need no spelling
-    rated = checkpointed(lex.where(~own_path).mapInArrow(rate, "word binary, c bigint, p double"))
+    rated = checkpointed(lex.where(~with_path).mapInArrow(rate, "word binary, c bigint, p double"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "digest", "word", "n", "tokens", "bytes", "known", "base", "score", "copies"]
+    names = ["tokens", "bytes", "known", "base", "score", "copies"]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # by leaf; an escape stands for other words
@@ -525,36 +542,37 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = HEAD) -> D
             letters = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy())])
             used = np.diff(letters[np.concatenate([[0], np.cumsum(sizes - 1)])]) + sizes
             scores = mixer.value.scores(classes.value.of(key, sizes, leaf), n)
-            rest = Counter(zip((np.searchsorted(begins, far, "right") - 1).tolist(), spelt, strict=True))
-            at, more = [k for k, _ in rest], len(rest)
+            coded = spelt.dictionary_encode()
+            kinds = max(1, len(coded.dictionary))
+            pair, times = np.unique((np.searchsorted(begins, far, "right") - 1) * kinds + coded.indices.to_numpy(), return_counts=True)
+            at, more = pair // kinds, len(pair)
             # the text's own row: a key that no word can be, spread over all partitions
             own = [b" %d" % d for d in digests.tolist()]
-            both = np.concatenate([np.arange(n), np.array(at, np.int64)])
-
-            def column(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-                return pa.array(np.concatenate([values, np.zeros(more, values.dtype)]), kind)
-
+            both = np.concatenate([np.arange(n), at])
+            place = pa.array(np.concatenate([np.arange(n), np.full(more, -1)]), mask=np.arange(n + more) >= n)
+            sums = [sizes, used, per(known), per(logs).astype(float), scores, np.ones(n, np.int64)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(pa.array(both)), pa.array(digests[both]), pa.array(own + [w for _, w in rest], pa.binary()),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), np.fromiter(rest.values(), np.int64, more)])),
-                    column(sizes, pa.int64()), column(used, pa.int64()), column(per(known), pa.int64()),
-                    column(per(logs).astype(float), pa.float64()), column(scores, pa.float64()), column(np.ones(n, np.int64), pa.int64()),
+                    ids.take(pa.array(both)), pa.array(digests[both]), pa.concat_arrays([pa.array(own, pa.binary()), coded.dictionary.take(pa.array(pair % kinds))]),
+                    pa.array(np.concatenate([np.zeros(n, np.int64), times])),
+                    pa.StructArray.from_arrays([pa.array(x) for x in sums], names=names).take(place),
                 ],
-                names=names,
+                names=["doc_id", "digest", "word", "n", "own"],
             )
 
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"))
-    schema = f"doc_id {kind}, digest bigint, word binary, n bigint, tokens bigint, bytes bigint, known bigint, base double, score double, copies bigint"
-    parts = keyed.mapInArrow(look_up, schema).join(rated.withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
+    schema = f"doc_id {kind}, digest bigint, word binary, n bigint, own struct<tokens: bigint, bytes: bigint, known: bigint, base: double, score: double, copies: bigint>"
+    # a word is one row of the rated, so their partitions are even, and need not be sorted
+    parts = keyed.mapInArrow(look_up, schema).join(rated.withColumnRenamed("word", "w").hint("shuffle_hash"), F.col("word") == F.col("w"), "left")
     hit = F.col("c").isNotNull()
+    own = lambda c: F.coalesce(f"own.{c}", F.lit(0))
     sums = parts.groupBy("doc_id", "digest").agg(
-        F.sum("tokens").alias("tokens"),
-        F.sum("bytes").alias("bytes"),
-        F.sum(F.col("known") + F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.col("base") + F.when(hit, F.col("n") * F.log10(F.col("c") + 1.0)).otherwise(0.0)).alias("base"),
-        F.sum(F.col("score") + F.when(hit, F.col("n") * F.col("p")).otherwise(0.0)).alias("score"),
-        F.sum("copies").alias("copies"),
+        F.sum("own.tokens").alias("tokens"),
+        F.sum("own.bytes").alias("bytes"),
+        F.sum(own("known") + F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"),
+        F.sum(own("base") + F.when(hit, F.col("n") * F.log10(F.col("c") + 1.0)).otherwise(0.0)).alias("base"),
+        F.sum(own("score") + F.when(hit, F.col("n") * F.col("p")).otherwise(0.0)).alias("score"),
+        F.sum("own.copies").alias("copies"),
     )
     # repeated rows have met in one group: their sums are multiples
     each = sums.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))

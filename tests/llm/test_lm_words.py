@@ -50,7 +50,7 @@ def test_columns_are_read_as_rows_are():
         flat, key, leaf, far = reader.read([lm.tokens((t or "").encode()) for t in texts])
         got = reader.read_column(pa.array(texts))
         assert got[0].to_pylist() == [w for w in flat if w] and got[3].tolist() == [len(lm.tokens((t or "").encode())) + 1 for t in texts]
-        assert (got[1] == far).all() and (got[2] == key).all() and (got[4] == leaf).all() and got[5] == [flat[k] for k in far]
+        assert (got[1] == far).all() and (got[2] == key).all() and (got[4] == leaf).all() and got[5].to_pylist() == [flat[k] for k in far]
 
 
 def test_one_worker_a_task_reads_the_lexicon(spark, monkeypatch):
