@@ -7,8 +7,8 @@ more documents are repeats, their occurrence in the smallest document stays, the
 spans, and spans of under ``SPAN`` characters (common short phrases) are no repeats.
 
 The counts per digest are combined map-side, so that a passage of a third of all documents is no hot group, and the join of
-the repeated digests back to the chunks can be split by adaptive execution. A bounded filter of the repeated digests
-spares chunks that cannot be repeats the shuffle.
+the repeated digests back to the chunks can be split by adaptive execution. First the digests' halves are counted alone, by
+hash; a bounded filter of those that occur twice spares chunks that cannot be repeats the sort by place and the shuffles.
 
 Cases: null and empty texts have no chunks. Rows that repeat a document (same id, same text) are one document. A null id is an id
 before all others. Texts of any length are chunked whole. Other columns are ignored.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,10 +71,27 @@ def one_row_each(docs: DataFrame) -> DataFrame:
     return rows.join(twice, same, "left_anti").unionByName(again)
 
 
-def chunks(rows: DataFrame, repeated: Broadcast | None = None) -> DataFrame:
-    """(doc_id, digest of the text, d1, d2, start, end) of every chunk, in code points.
+def _cut(text: bytes) -> tuple[list[int], list[bytes]]:
+    """The ends of a text's chunks, and their digests."""
+    cuts = chunk_ends(text)
+    return cuts, [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)]
 
-    Without ``repeated`` each digest of a text once; with that filter all chunks whose digest may be in it.
+
+def halves(rows: DataFrame) -> DataFrame:
+    """(d1): the first half of every digest of a text, once."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            own = b"".join(chain.from_iterable(set(_cut(text)[1]) for text in utf8(batch.column("text"))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(own, "<i8")[::2])], names=["d1"])
+
+    return rows.select("text").mapInArrow(kernel, "d1 bigint")
+
+
+def chunks(rows: DataFrame, repeated: Broadcast, once: bool = False) -> DataFrame:
+    """(doc_id, digest of the text, d1, d2, start, end) of the chunks whose digest may be in the filter ``repeated``, in code points.
+
+    ``once``: each digest of a text at its first place alone.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "digest", "d1", "d2", "start", "end"]
@@ -82,22 +100,20 @@ def chunks(rows: DataFrame, repeated: Broadcast | None = None) -> DataFrame:
         for batch in steps(batches, "text"):
             at, starts, ends, found = [], [], [], []
             for k, text in enumerate(utf8(batch.column("text"))):
-                cuts = chunk_ends(text)
-                own = [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)]
+                cuts, own = _cut(text)
+                both = np.frombuffer(b"".join(own), "<i8").reshape(-1, 2)
+                bit = both[:, 0].view(np.uint64) & np.uint64(len(repeated.value) * 8 - 1)
+                hit = np.flatnonzero(repeated.value[(bit >> np.uint64(3)).astype(np.intp)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                if once:
+                    hit = np.fromiter({own[j]: j for j in reversed(hit.tolist())}.values(), np.int64)
                 if text.isascii():
                     points = np.array([0, *cuts])
                 else:
                     points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])[[0, *cuts]]
-                both = np.frombuffer(b"".join(own), "<i8").reshape(-1, 2)
-                if repeated is None:
-                    first = np.fromiter({d: j for j, d in reversed(list(enumerate(own)))}.values(), np.int64)
-                else:
-                    bit = both[:, 0].view(np.uint64) & np.uint64(len(repeated.value) * 8 - 1)
-                    first = np.flatnonzero(repeated.value[(bit >> np.uint64(3)).astype(np.intp)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
-                at.append(np.full(len(first), k, np.int32))
-                found.append(both[first])
-                starts.append(points[:-1][first])
-                ends.append(points[1:][first])
+                at.append(np.full(len(hit), k, np.int32))
+                found.append(both[hit])
+                starts.append(points[:-1][hit])
+                ends.append(points[1:][hit])
             both, take = np.concatenate(found), pa.array(np.concatenate(at))
             columns = [batch.column("doc_id").take(take), batch.column("digest").take(take), pa.array(both[:, 0]), pa.array(both[:, 1])]
             columns += [pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, ends)]
@@ -106,16 +122,16 @@ def chunks(rows: DataFrame, repeated: Broadcast | None = None) -> DataFrame:
     return rows.select("doc_id", "text", "digest").mapInArrow(kernel, f"doc_id {kind}, digest bigint, d1 bigint, d2 bigint, start int, end int")
 
 
-def digest_filter(shared: DataFrame) -> np.ndarray:
-    """A bit for each digest (s1) of ``shared``; it only spares rows that cannot meet, whatever its size.
+def digest_filter(twice: DataFrame) -> np.ndarray:
+    """A bit for each half of a digest (s1) of ``twice``; it only spares rows that cannot meet, whatever its size.
 
     Bits are joined to words and words to blocks of 64 KB by grouping, so that the driver gets a few hundred rows at the most.
     """
-    n = shared.count()
+    n = twice.count()
     bits = min(MOST_FILTER, max(LEAST_FILTER, 1 << (16 * n).bit_length()))
     place = F.col("s1").bitwiseAND(F.lit(bits - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(31)).cast("int"))
-    words = shared.groupBy(F.shiftright(place, 5).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    words = twice.groupBy(F.shiftright(place, 5).alias("word")).agg(F.bit_or(bit).alias("bits"))
     size = min(bits >> 5, 1 << 14)
 
     def packed(group: pa.Table) -> pa.Table:
@@ -133,9 +149,10 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Repeated spans: doc_id, digest, start, end, n_chars, n_chunks, n_docs, first_doc_id, stays."""
     rows = one_row_each(docs)
     place = F.struct("doc_id", "digest", "start")
-    counted = chunks(rows).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n_docs"), F.min(place).alias("first"))
+    twice = checkpointed(halves(rows).groupBy(F.col("d1").alias("s1")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s1"))
+    repeated = docs.sparkSession.sparkContext.broadcast(digest_filter(twice))
+    counted = chunks(rows, repeated, once=True).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n_docs"), F.min(place).alias("first"))
     shared = checkpointed(counted.where("n_docs > 1").select(F.col("d1").alias("s1"), F.col("d2").alias("s2"), "n_docs", "first"))
-    repeated = docs.sparkSession.sparkContext.broadcast(digest_filter(shared))
     hit = chunks(rows, repeated).join(shared, (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2")))
     stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.digest") == F.col("digest")) & (F.col("first.start") == F.col("start"))
     hit = hit.select("doc_id", "digest", "start", "end", "n_docs", F.col("first.doc_id").alias("first_doc_id"), stays.alias("stays"))
