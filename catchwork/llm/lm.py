@@ -28,7 +28,7 @@ from __future__ import annotations
 import copy
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +57,11 @@ HEAD = 100_000
 LETTERS = 8
 #: Tokens that a task holds at once to count them.
 COUNTED = 4_000_000
-#: Bits of a training step, tokens or words that the kernels read at once, and bytes that training and scoring read at once.
+#: Bits of a training step, tokens or words that the kernels read at once, and bytes that training and scoring read at once
+#: (every reading makes a hash table of the words with a path anew, 10 ms).
 BATCH = 1 << 14
 _STEP = 1 << 13
-TRAIN_BYTES = 1 << 20
+TRAIN_BYTES = 3 << 20
 RATE = 0.05
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _NODE = np.uint32(0x9E3779B1)
@@ -83,10 +84,19 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat, offsets = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
     own = pc.not_equal(pc.binary_length(flat), 0)  # blanks at a text's sides leave empty pieces
+    if pc.all(own).as_py():
+        return flat, np.diff(offsets).astype(np.int64)
     before = np.concatenate([[0], np.cumsum(own.to_numpy(zero_copy_only=False))])
     return flat.filter(own), np.diff(before[offsets])
 
 
+def checksums(words: pa.Array) -> np.ndarray:
+    """The CRC-32 of binary words, cut from the column's bytes: Arrow's own way to Python objects takes three times as long."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    data = words.buffers()[2].slice(ends[0], ends[-1] - ends[0]).to_pybytes() if ends[-1] > ends[0] else b""
+    return np.fromiter((zlib.crc32(data[a:b]) for a, b in pairwise((ends - ends[0]).tolist())), np.uint32, len(words))
+
+
 def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By leaf the begin of its path (one more at the end), and the inner nodes and bits of all paths."""
     n = len(counts)
@@ -126,16 +136,26 @@ def _paths(begin: np.ndarray, joined: np.ndarray, leaves: np.ndarray) -> tuple[n
     sizes = begin.take(leaves + 1) - first
     at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
     at += np.arange(len(at))
-    step = joined.take(at)
+    step = joined.take(at, mode="clip")
     return sizes, step >> np.uint32(1), (step & np.uint32(1)).astype(np.uint8)
 
 
-def _slots(h: np.ndarray, sizes: np.ndarray, mixed: np.ndarray, shift: np.uint32) -> np.ndarray:
-    """Of the bits of all paths, the slots of a context that is hashed by leaf: ``mixed`` tells a path's nodes apart."""
+def _slots(h: np.ndarray, sizes: np.ndarray, mixed: np.ndarray, shift: np.uint32, value: np.ndarray | None = None) -> np.ndarray:
+    """Of the bits of all paths, the slots of a context that is hashed by leaf: ``mixed`` tells a path's nodes apart.
+
+    With ``value`` the places of the bits in a table that has a zero's and a one's entry for each slot.
+    """
     x = np.repeat(h, sizes)
     x ^= mixed
     x *= _MIX
     x >>= shift
+    return x.astype(np.intp) if value is None else _places(x, value)
+
+
+def _places(slots: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The entries of the bits in a table that has a zero's and a one's for each slot."""
+    x = slots << np.uint32(1)
+    x |= value
     return x.astype(np.intp)
 
 
@@ -187,12 +207,15 @@ class Classes:
         leaf[far] = key[far] >> np.uint32(32 - CLASS_BITS)
         return flat, key, leaf, far
 
-    def bits(self, texts: pa.Array, leaves: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
-        """Of the bits, some tokens at a time: their text, slots by context and value. ``leaves``: what the leaves are counted in, too."""
+    def bits(self, texts: pa.Array, leaves: np.ndarray | None = None, placed: bool = False) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+        """Of the bits, some tokens at a time: their text, slots by context and value. ``leaves``: what the leaves are counted in, too.
+
+        ``placed``: a zero's or a one's place, two for each slot, instead of the slots.
+        """
         _, _, key, sizes, leaf, _ = self.read_column(texts)
         if leaves is not None:
             leaves += np.bincount(leaf, minlength=len(leaves))
-        yield from self.of(key, sizes, leaf)
+        yield from self.of(key, sizes, leaf, placed)
 
     def read_column(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """As ``read``, over a column: the words, the places of the escaped tokens, checksums, texts' sizes, leaves, and the escaped tokens.
@@ -218,11 +241,11 @@ class Classes:
             # so many ends stand before a token
             spelt = words.take(pa.array(np.where(ends, 0, far - np.searchsorted(end, far))))
             spelt = pc.if_else(pa.array(~ends), spelt, b"") if ends.any() else spelt
-        key[far] = np.fromiter(map(zlib.crc32, spelt.to_pylist()), np.uint32, len(far))
+        key[far] = checksums(spelt)
         leaf[far] = key[far] >> np.uint32(32 - CLASS_BITS)
         return words, far, key, sizes, leaf, spelt
 
-    def of(self, key: np.ndarray, sizes: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    def of(self, key: np.ndarray, sizes: np.ndarray, leaf: np.ndarray, placed: bool = False) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
         text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         inside = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         # a text's begin is no word
@@ -233,8 +256,8 @@ class Classes:
         for a in range(0, len(key), self.step):
             n, node, value = _paths(self.code[0], self.joined, leaf[a : a + self.step])
             mixed = node * _NODE
-            longer = [_slots(h[a : a + self.step], n, mixed, self.shift) for h in (one, two)]
-            yield np.repeat(text[a : a + self.step], n), [node.astype(np.intp), *longer], value
+            longer = [_slots(h[a : a + self.step], n, mixed, self.shift, value if placed else None) for h in (one, two)]
+            yield np.repeat(text[a : a + self.step], n), [_places(node, value) if placed else node.astype(np.intp), *longer], value
 
 
 class Spelling:
@@ -246,8 +269,8 @@ class Spelling:
         self.widths = [FIRST_SLOTS, slots, slots]
         self.shifts = [np.uint32(33 - w.bit_length()) for w in self.widths]
 
-    def bits(self, words: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
-        """Of the bits, some words at a time: their word, slots by context and value."""
+    def bits(self, words: pa.Array, placed: bool = False) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+        """Of the bits, some words at a time: their word, slots by context and value; ``placed`` as in ``Classes``."""
         rows = utf8(words)
         for a in range(0, len(rows), _STEP // 4):
             words = rows[a : a + _STEP // 4]
@@ -267,7 +290,7 @@ class Spelling:
             found.append((sums[:-1] - np.repeat(sums[np.cumsum(sizes) - sizes], sizes)) * _NODE + inside.astype(np.uint32))
             found = [(h ^ (h >> np.uint32(15))) * _MIX for h in found]
             mixed = node * _NODE
-            yield np.repeat(word, n), [_slots(h, n, mixed, s) for h, s in zip(found, self.shifts, strict=True)], value
+            yield np.repeat(word, n), [_slots(h, n, mixed, s, value if placed else None) for h, s in zip(found, self.shifts, strict=True)], value
 
 
 def states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -300,36 +323,43 @@ class Mixer:
 
     def _inputs(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         """Logits by context, and gates."""
-        own = [t.take(s) for t, s in zip(self.states, slots, strict=True)]
+        # slots are in range by their making; checking each again costs as much as the look-up
+        own = [t.take(s, mode="clip") for t, s in zip(self.states, slots, strict=True)]
         gate = ((own[1] & np.int16(3)) << np.int16(2)) | (own[2] & np.int16(3))
         return [(q >> np.int16(2)) * np.float32(1 / _STEPS) for q in own], gate.astype(np.intp)
 
     def _mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        out = self.weights[0].take(gate)
+        out = self.weights[0].take(gate, mode="clip")
         out *= x[0]
         for k in range(1, CONTEXTS):
-            own = self.weights[k].take(gate)
+            own = self.weights[k].take(gate, mode="clip")
             own *= x[k]
             out += own
         return out
 
-    def _cells(self, mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """The cell of the adaptive table for each bit: the logit to the nearest step, by gate."""
-        x = np.minimum(np.maximum(mixed, np.float32(-8)), np.float32(8))
+    def _cells(self, mixed: np.ndarray, gate: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Twice the cell of the adaptive table for each bit (the logit to the nearest step, by gate), one more for a one."""
+        x = np.maximum(mixed, np.float32(-8))
+        np.minimum(x, np.float32(8), out=x)
         x += np.float32(8)
         x *= np.float32((_CELLS - 1) / 16)
         x += np.float32(0.5)
-        return x.astype(np.intp) + gate * _CELLS
-
-    def train(self, slots: list[np.ndarray], value: np.ndarray) -> None:
-        """Go on over some bits: weights by the gradient, the table towards the outcomes."""
-        inputs, gates = self._inputs([s * 2 + value for s in slots])
+        cell = gate.astype(np.int16)
+        cell *= np.int16(_CELLS)
+        cell += x.astype(np.int16)
+        cell <<= np.int16(1)
+        cell |= value
+        return cell.astype(np.intp)
+
+    def train(self, slots: list[np.ndarray], value: np.ndarray, placed: bool = False) -> None:
+        """Go on over some bits, by their slots or places: weights by the gradient, the table towards the outcomes."""
+        inputs, gates = self._inputs(slots if placed else [s * 2 + value for s in slots])
         flat = self.table.reshape(-1)
         for s in range(0, len(value), BATCH):
             x, g, y = [c[s : s + BATCH] for c in inputs], gates[s : s + BATCH], value[s : s + BATCH]
             mixed = self._mixed(x, g)
             wrong = y - 1 / (1 + np.exp(-mixed))
-            seen, ones = np.bincount(self._cells(mixed, g) * 2 + y, minlength=2 * len(flat)).reshape(-1, 2).T
+            seen, ones = np.bincount(self._cells(mixed, g, y), minlength=2 * len(flat)).reshape(-1, 2).T
             seen = seen + ones
             size = seen.reshape(_GATES, _CELLS).sum(axis=1)
             slope = np.stack([np.bincount(g, wrong * c, _GATES) for c in x]) / np.maximum(size, 1)
@@ -339,17 +369,22 @@ class Mixer:
             # a cell moves towards the batch's outcomes by their number, never past them
             flat += ((ones - seen * flat) / (seen + 50)).astype(np.float32)
 
-    def log10(self, slots: list[np.ndarray], value: np.ndarray) -> np.ndarray:
+    def logs(self) -> np.ndarray:
+        """log10 of the shares of zeros and ones in the cells of the adaptive table."""
+        return np.log10(np.stack([1 - self.table.ravel(), self.table.ravel()], axis=1)).ravel()
+
+    def log10(self, slots: list[np.ndarray], value: np.ndarray, logs: np.ndarray | None = None) -> np.ndarray:
         """The bits' log10 probabilities; those of a bit's two values add up to 1, and none is 0."""
         x, gate = self._inputs(slots)
-        logs = np.log10(np.stack([1 - self.table.ravel(), self.table.ravel()], axis=1)).ravel()
-        return logs.take(self._cells(self._mixed(x, gate), gate) * 2 + value)
+        return (self.logs() if logs is None else logs).take(self._cells(self._mixed(x, gate), gate, value), mode="clip")
 
     def scores(self, bits: Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]], rows: int) -> np.ndarray:
         """log10 probability of each row's bits."""
-        out = np.zeros(rows)
+        out, logs = np.zeros(rows), self.logs()
         for owner, slots, value in bits:
-            out += np.bincount(owner, self.log10(slots, value), rows)
+            # some texts at a time: their bits stand together
+            own = np.bincount(owner - owner[0], self.log10(slots, value, logs))
+            out[owner[0] : owner[0] + len(own)] += own
         return out
 
 
@@ -395,9 +430,9 @@ def context_tables(rows: DataFrame, reader: Broadcast) -> tuple[list[np.ndarray]
         alone = [np.zeros(len(reader.value.code[0]) - 1, np.int64)] if isinstance(reader.value, Classes) and not weighted else []
         for batch in steps(batches, "text", TRAIN_BYTES):
             weight = batch.column("weight").to_numpy().astype(np.uint32) if weighted else None
-            for owner, slots, value in reader.value.bits(batch.column("text"), *alone):
+            for owner, places, _ in reader.value.bits(batch.column("text"), *alone, placed=True):
                 for k in range(len(alone), CONTEXTS):
-                    np.add.at(sums[k], slots[k] * 2 + value, weight[owner] if weighted else np.uint32(1))
+                    np.add.at(sums[k], places[k], weight[owner] if weighted else np.uint32(1))
         for leaves in alone:
             sums[0] += np.bincount(reader.value.joined, np.repeat(leaves, np.diff(reader.value.code[0])), len(sums[0])).astype(np.uint32)
         pack = zstandard.ZstdCompressor(1)
@@ -459,8 +494,8 @@ def fit(rows: DataFrame, n: int, reader: Broadcast, shard: int = SHARD) -> Mixer
 
         def learn(texts: list[str | bytes]) -> int:
             bits = 0
-            for _, slots, value in reader.value.bits(pa.array(texts)):
-                own.train(slots, value)
+            for _, places, value in reader.value.bits(pa.array(texts), placed=True):
+                own.train(places, value, placed=True)
                 bits += len(value)
             return bits
 

@@ -59,3 +59,20 @@ def test_one_worker_a_task_reads_the_lexicon(spark, monkeypatch):
     monkeypatch.setattr(lm, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
     docs = spark.createDataFrame([(k, f"a b c{k % 5} d{k}") for k in range(50)], "doc_id long, text string")
     assert lm.score(docs).count() == 50 and [p.count("MapInArrow") for p in plans] == [1, 1]
+
+
+def test_bits_come_with_their_places():
+    """Training and counting get places in tables of zeros and ones at once; they are those of the slots."""
+    texts = pa.array(["w1 w2 other", None, "w7 w7 w1"])
+    words = {b"w%d" % k: float(1 + k) for k in range(300)} | {b"": 50.0}
+    for reader, rows in ((lm.Classes(lm.SLOTS, words, [3.0] * (1 << lm.CLASS_BITS)), texts), (lm.Spelling(np.ones(256, np.int64), lm.SLOTS), pa.array([b"abc", b"", b"w\xc3\xa4"]))):
+        slots, places = list(reader.bits(rows)), list(reader.bits(rows, placed=True))
+        assert len(slots) == len(places) > 0
+        for (o, s, v), (p, q, w) in zip(slots, places, strict=True):
+            assert (o == p).all() and (v == w).all() and all((2 * a + v == b).all() for a, b in zip(s, q, strict=True))
+
+
+def test_checksums_of_a_column():
+    words = [b"", b"a", "\u00e4\u4f60".encode(), b"x" * 1000, b"", b"end"]
+    for column, own in ((pa.array(words, pa.binary()), words), (pa.array(words, pa.binary()).slice(2, 3), words[2:5]), (pa.array([b"", b""], pa.binary()), [b"", b""]), (pa.array([], pa.binary()), [])):
+        assert lm.checksums(column).tolist() == [zlib.crc32(w) for w in own]
