@@ -57,11 +57,12 @@ HEAD = 100_000
 LETTERS = 8
 #: Tokens that a task holds at once to count them.
 COUNTED = 4_000_000
-#: Bits of a training step, tokens or words that the kernels read at once, and bytes that training and scoring read at once
-#: (every reading makes a hash table of the words with a path anew, 10 ms).
+#: Bits of a training step, tokens or words that the kernels read at once, and bytes that counting and scoring read at once
+#: (every reading makes a hash table of the words with a path anew, 10 ms); training reads less, as its steps end with a reading.
 BATCH = 1 << 14
 _STEP = 1 << 13
-TRAIN_BYTES = 3 << 20
+READ_BYTES = 3 << 20
+TRAIN_BYTES = 1 << 20
 RATE = 0.05
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _NODE = np.uint32(0x9E3779B1)
@@ -428,7 +429,7 @@ def context_tables(rows: DataFrame, reader: Broadcast) -> tuple[list[np.ndarray]
         sums = [np.zeros(2 * w, np.uint32) for w in widths]
         # the context of no word: nodes are met as often as the leaves below them
         alone = [np.zeros(len(reader.value.code[0]) - 1, np.int64)] if isinstance(reader.value, Classes) and not weighted else []
-        for batch in steps(batches, "text", TRAIN_BYTES):
+        for batch in steps(batches, "text", READ_BYTES):
             weight = batch.column("weight").to_numpy().astype(np.uint32) if weighted else None
             for owner, places, _ in reader.value.bits(batch.column("text"), *alone, placed=True):
                 for k in range(len(alone), CONTEXTS):
@@ -569,7 +570,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = HEAD) -> D
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # by leaf; an escape stands for other words
         logs, known = np.log10(counts.value + 1).astype(np.longdouble), (counts.value > 0).astype(np.int64)
-        for batch in steps(batches, "text", TRAIN_BYTES):
+        for batch in steps(batches, "text", READ_BYTES):
             ids, digests, n = batch.column("doc_id"), batch.column("digest").to_numpy(), batch.num_rows
             words, far, key, sizes, leaf, spelt = classes.value.read_column(batch.column("text"))
             begins = np.cumsum(sizes) - sizes
